@@ -11,6 +11,7 @@ from ..plans.catalog import COUNTING_SQL
 from ..runtime import table
 from .cooccurrence import strong_pairs, term_pairs
 from .frequencies import marked_terms, useless_terms
+from .percentiles import METRICS, summary_percentiles, unfit_figures
 from .topn import top_postings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +20,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     """The corpus queries by name."""
     return {
+        "p1_found": lambda spark, d: unfit_figures(table(spark, d, "lookup_samples"), table(spark, d, "lookup_summaries")),
+        "p1_percentiles": lambda spark, d: summary_percentiles(
+            table(spark, d, "lookup_samples"), table(spark, d, "lookup_summaries")
+        ).select("period_start", "period_days", "term", "segment_access", "metric", "size", "median", "p95"),
         "p2_found": lambda spark, d: useless_terms(table(spark, d, "postings")),
         "p2_frequencies": lambda spark, d: marked_terms(table(spark, d, "postings")).select(
             "term", "occurrences", "documents", "mark"
@@ -54,9 +59,41 @@ m as (select c.*, x.df as da, y.df as db, n.n as n from c, df x, df y, n
 """
 
 
+_SAMPLE_SQL = """
+s as (select sample_id, recorded_on, term, segment_access, segment_open_ms, total_ms from (
+        select *, row_number() over (partition by sample_id order by coalesce(arrived_at, timestamp '9999-01-01')) as k
+        from lookup_samples) where k = 1 or sample_id is null),
+l as (select recorded_on, term, segment_access, 'segment_open' as metric, segment_open_ms as x from s
+      union all select recorded_on, term, segment_access, 'total', total_ms from s),
+x as (select * from l where x is not null and not isnan(x) and x >= 0),
+g as (select distinct period_start, period_days, term, segment_access from lookup_summaries),
+m as (select g.*, x.metric, x.x as x from g join x on x.segment_access = g.segment_access and (g.term = '*' or g.term = x.term)
+        and x.recorded_on >= g.period_start
+        and x.recorded_on < strftime(cast(g.period_start as date) + g.period_days, '%Y-%m-%d'))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Equivalent DuckDB SQL by query name."""
     return {
+        "p1_found": f"""
+            with {_SAMPLE_SQL},
+            f as (select distinct summary_id, period_start, period_days, term, segment_access, metric, stat, v from (
+              select *, 'segment_open' as metric, 'median' as stat, segment_open_median_ms as v from lookup_summaries
+              union all select *, 'segment_open', 'p95', segment_open_p95_ms from lookup_summaries
+              union all select *, 'total', 'median', total_median_ms from lookup_summaries
+              union all select *, 'total', 'p95', total_p95_ms from lookup_summaries) where v is not null),
+            c as (select f.summary_id, f.metric, f.stat, f.v, count(*) as n, count(*) filter (x <= v) as upto,
+                    count(*) filter (x < v) as under
+                  from f join m using (period_start, period_days, term, segment_access, metric) group by 1, 2, 3, 4)
+            select distinct summary_id, metric, stat from c
+            where upto * 100 < n * case stat when 'median' then 49 else 94 end
+               or under * 100 > n * case stat when 'median' then 51 else 96 end""",
+        "p1_percentiles": f"""
+            with {_SAMPLE_SQL}
+            select period_start, period_days, term, segment_access, metric, count(*) as size,
+              quantile_disc(x, 0.5) as median, quantile_disc(x, 0.95) as p95
+            from m group by 1, 2, 3, 4, 5""",
         "p2_found": f"with {_FREQUENCY_SQL} select term, mark from marks",
         "p2_frequencies": f"with {_FREQUENCY_SQL} select term, occurrences, documents, mark from freq left join marks using (term)",
         "p4_found": f"with {_PAIR_SQL} select term_a, term_b from m where together * n >= 5 * da * db",
