@@ -70,23 +70,20 @@ def with_offsets(totals: DataFrame, groups: Sequence[str], amount: str) -> DataF
 
 
 def running_total(rows: DataFrame, groups: Sequence[str], order: Sequence[str], amount: str, name: str, width: int) -> DataFrame:
-    """Running total of ``amount`` within ``groups`` in ``order``, for rows that already have ``_slice``.
+    """Running total of the whole numbers in ``amount`` within ``groups`` in ``order``, for rows that have ``_slice``.
 
-    Each slice is sorted and summed by itself; small totals per group and slice carry
-    the sums over slice borders. No group has to fit into one task. Null amounts add
-    nothing; ``order`` should be unique within a group for a reproducible result.
+    ``_slice`` must follow ``order`` within each group. Each slice is sorted and summed
+    by itself; the sum of a group's earlier slices enters as one more row that sorts
+    first, so the rows are shuffled once and no group has to fit into one task. Null
+    amounts add nothing; ``order`` should be unique within a group for a reproducible
+    result. Null groups are groups like any other.
     """
-    placed = rows.repartition(width, "_slice")
-    local = Window.partitionBy("_slice", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = placed.withColumn(name, F.coalesce(F.sum(amount).over(local), F.lit(0)))
     totals = rows.groupBy(*groups, "_slice").agg(F.sum(amount).alias("_amount"))
-    before = with_offsets(totals, groups, "_amount").select(
-        *[F.col(g).alias(f"_g_{g}") for g in groups], F.col("_slice").alias("_g_slice"), "_before"
-    )
-    on = F.col("_slice") == F.col("_g_slice")
-    for g in groups:
-        on = on & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    joined = summed.join(before, on, "left")
-    return joined.withColumn(name, F.col(name) + F.coalesce(F.col("_before"), F.lit(0))).drop(
-        "_before", "_g_slice", *[f"_g_{g}" for g in groups]
+    kept = [c for c in rows.columns if c not in {*groups, "_slice"}]
+    starts = with_offsets(totals, groups, "_amount").select(
+        *groups, "_slice", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in kept], F.col("_before").alias("_start")
     )
+    every = rows.withColumn("_start", F.lit(None).cast("bigint")).unionByName(starts)
+    local = Window.partitionBy("_slice", *groups).orderBy(F.col("_start").asc_nulls_last(), *order)
+    total = F.sum(F.coalesce("_start", amount, F.lit(0))).over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return every.repartition(width, "_slice").withColumn(name, total).where(F.col("_start").isNull()).drop("_start")
