@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..plans.catalog import COUNTING_SQL
 from ..runtime import table
 from .cooccurrence import strong_pairs, term_pairs
+from .encoding import decode_ids, encode_texts
 from .frequencies import marked_terms, useless_terms
+from .mixing import mix_report, mixed_documents, short_sources
 from .percentiles import METRICS, summary_percentiles, unfit_figures
 from .topn import top_postings
 
@@ -33,6 +35,11 @@ def queries() -> dict[str, Query]:
             F.col("item_a").alias("term_a"), F.col("item_b").alias("term_b"), "together", F.round("ratio", 6).alias("ratio")
         ),
         "p5_found": lambda spark, d: top_postings(table(spark, d, "postings")),
+        "p6_ids": lambda spark, d: encode_texts(table(spark, d, "documents")),
+        "p6_decoded": lambda spark, d: decode_ids(encode_texts(table(spark, d, "documents"))),
+        "p7_found": lambda spark, d: short_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")),
+        "p7_shares": lambda spark, d: mix_report(table(spark, d, "documents"), table(spark, d, "mix_targets")),
+        "p7_mix": lambda spark, d: mixed_documents(table(spark, d, "documents"), table(spark, d, "mix_targets")),
     }
 
 
@@ -111,4 +118,5 @@ def oracle_sql() -> dict[str, str]:
             select segment_id, term, cast(place as int) as place, document_id from (
               select *, row_number() over (partition by segment_id, term order by term_frequency desc, document_id) as place
               from counting) where place <= 3""",
+        "p6_decoded": "select doc_id, coalesce(text, '') as text from documents",
     }
