@@ -12,6 +12,7 @@ from ..runtime import table
 from .cooccurrence import strong_pairs, term_pairs
 from .encoding import decode_ids, encode_texts
 from .frequencies import marked_terms, useless_terms
+from .languages import identify_languages, language_model, mislabelled
 from .mixing import mix_report, mixed_documents, short_sources
 from .percentiles import METRICS, summary_percentiles, unfit_figures
 from .topn import top_postings
@@ -19,6 +20,12 @@ from .topn import top_postings
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _stretches(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    found = identify_languages(documents, language_model(table(spark, d, "language_samples"), documents))
+    return found.select("doc_id", "label", F.explode_outer("stretches").alias("at")).select("doc_id", "label", "at.*")
+
+
 def queries() -> dict[str, Query]:
     """The corpus queries by name."""
     return {
@@ -37,6 +44,8 @@ def queries() -> dict[str, Query]:
         "p5_found": lambda spark, d: top_postings(table(spark, d, "postings")),
         "p6_ids": lambda spark, d: encode_texts(table(spark, d, "documents")),
         "p6_decoded": lambda spark, d: decode_ids(encode_texts(table(spark, d, "documents"))),
+        "p8_found": lambda spark, d: mislabelled(table(spark, d, "documents"), table(spark, d, "language_samples")),
+        "p8_stretches": _stretches,
         "p7_found": lambda spark, d: short_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")),
         "p7_shares": lambda spark, d: mix_report(table(spark, d, "documents"), table(spark, d, "mix_targets")),
         "p7_mix": lambda spark, d: mixed_documents(table(spark, d, "documents"), table(spark, d, "mix_targets")),
