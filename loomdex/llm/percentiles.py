@@ -9,10 +9,13 @@ first value whose cumulative count reaches the rank is the percentile.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from fractions import Fraction
+from functools import partial
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.slices import slice_bounds, slice_of, with_offsets
@@ -34,12 +37,12 @@ class Rank:
     def __init__(self, name: str, share: str, beyond: bool = False) -> None:
         self.name, self.share, self.beyond = name, Fraction(share), beyond
 
-    def place(self, whole: Column) -> Column:
+    def place(self, whole: np.ndarray) -> np.ndarray:
         """The least cumulative count that reaches the rank among ``whole`` values, in whole numbers."""
         top, bottom = self.share.numerator, self.share.denominator
         if self.beyond:
-            return F.floor(whole * top / F.lit(bottom).cast("decimal(10,0)")).cast("bigint") + 1
-        return F.greatest(F.ceil(whole * top / F.lit(bottom).cast("decimal(10,0)")).cast("bigint"), F.lit(1))
+            return whole * top // bottom + 1
+        return np.maximum(-(-whole * top // bottom), 1)
 
 
 #: The two published statistics and the bounds of one hundredth of rank around them.
@@ -60,37 +63,84 @@ def merge_counts(states: DataFrame, groups: Sequence[str]) -> DataFrame:
     return states.groupBy(*groups, "value").agg(F.sum("n").alias("n"))
 
 
-def _pick(rows: DataFrame, groups: Sequence[str], ranks: Sequence[Rank]) -> DataFrame:
-    """First values that reach the ranks, from rows dealt out by ``_slice``.
+_PICKED = pa.schema(
+    [("gid", pa.int64()), ("metric", pa.int32()), ("rank", pa.int32()), ("value", pa.float64()), ("size", pa.int64())]
+)
+
+
+def _ranks_of_slice(rows: pa.Table, ranks: Sequence[Rank]) -> pa.RecordBatch:
+    """First values of one slice that reach the ranks; rows come in the order of value, starts first."""
+    lists = rows.column("gids").combine_chunks()
+    offsets = lists.offsets.to_numpy()
+    which = np.repeat(np.arange(rows.num_rows), np.diff(offsets))
+    metric = rows.column("metric").to_numpy()[which].astype(np.int64)
+    key = lists.values.to_numpy()[offsets[0] : offsets[-1]] * 2 + metric
+    amount = rows.column("n").to_numpy()[which]
+    start = rows.column("_whole").is_valid().to_numpy()[which]
+    # The one start of each group: the count of earlier slices and the size of the group.
+    order = np.argsort(key[start])
+    groups, before = key[start][order], amount[start][order]
+    whole = rows.column("_whole").fill_null(0).to_numpy()[which][start][order]
+    order = np.flatnonzero(~start)
+    order = order[np.argsort(key[order], kind="stable")]
+    key, amount, which = key[order], amount[order], which[order]
+    value = rows.column("value").fill_null(0.0).to_numpy()
+    upto = np.cumsum(amount)
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    at = np.searchsorted(groups, key[first])
+    lengths = np.diff(np.r_[first, len(key)])
+    upto += np.repeat(before[at] - (upto[first] - amount[first]), lengths)
+    parts = []
+    for i, rank in enumerate(ranks):
+        place = np.repeat(rank.place(whole[at]), lengths)
+        hit = np.flatnonzero((upto >= place) & (upto - amount < place))
+        parts.append((key[hit], np.full(len(hit), i, np.int32), value[which[hit]], whole[np.searchsorted(groups, key[hit])]))
+    keys, numbers, values, sizes = (np.concatenate(p) for p in zip(*parts, strict=True))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys >> 1), pa.array((keys & 1).astype(np.int32)), pa.array(numbers), pa.array(values), pa.array(sizes)],
+        schema=_PICKED,
+    )
+
 
-    ``rows`` are (_slice, groups, value, n, _whole): counts with a null _whole, and for
-    every group and slice one row with a null value whose n is the count of earlier
-    slices and whose _whole is the group's size. The latter sort first and so start
-    each running sum. No group has to fit into one task.
+def _slices(batches: Iterator[pa.RecordBatch], ranks: Sequence[Rank]) -> Iterator[pa.RecordBatch]:
+    """One slice after another; only one is held."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        numbers = batch.column("_slice").to_numpy()
+        cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            if high > low:
+                if held and held[0].column("_slice")[0].as_py() != numbers[low]:
+                    yield _ranks_of_slice(pa.Table.from_batches(held), ranks)
+                    held = []
+                held.append(batch.slice(low, high - low))
+    if held:
+        yield _ranks_of_slice(pa.Table.from_batches(held), ranks)
+
+
+def _pick(rows: DataFrame, ranks: Sequence[Rank]) -> DataFrame:
+    """(gid, metric, size, one column per rank): first values that reach the ranks.
+
+    ``rows`` are (_slice, gids, metric, value, n, _whole), dealt out by ``_slice``: counts,
+    each with the groups it belongs to and a null _whole, and for every group and slice
+    one start, whose n is the count of earlier slices and whose _whole is the group's
+    size. A row counts for all its groups without being copied or sorted for each. No
+    group has to fit into one task.
     """
-    local = Window.partitionBy("_slice", *groups).orderBy(F.col("value").asc_nulls_first())
-    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    merged = rows.groupBy("_slice", *groups, "value").agg(F.sum("n").alias("n"), F.max("_whole").alias("_whole"))
-    summed = merged.select(
-        *groups, "value", "n", F.sum("n").over(upto).alias("_upto"), F.first("_whole").over(upto).alias("_size")
-    ).where(F.col("value").isNotNull())
-
-    def reached(rank: Rank) -> Column:
-        place = rank.place(F.col("_size"))
-        return (F.col("_upto") >= place) & (F.col("_upto") - F.col("n") < place)
-
-    some = None
-    for rank in ranks:
-        some = reached(rank) if some is None else some | reached(rank)
-    return summed.where(some).groupBy(*groups).agg(
-        F.first("_size").alias("size"), *[F.min(F.when(reached(r), F.col("value"))).alias(r.name) for r in ranks]
+    ordered = rows.select("_slice", "gids", "metric", "value", "n", "_whole").sortWithinPartitions(
+        "_slice", F.col("value").asc_nulls_first()
+    )
+    found = ordered.mapInArrow(partial(_slices, ranks=list(ranks)), "gid bigint, metric int, rank int, value double, size bigint")
+    # Equal values may lie in several slices, so a rank can only ever be reached in one.
+    return found.groupBy("gid", "metric").agg(
+        F.first("size").alias("size"), *[F.min(F.when(F.col("rank") == i, F.col("value"))).alias(r.name) for i, r in enumerate(ranks)]
     )
 
 
-def _starts(totals: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """The rows of ``_pick`` that carry sums over slice borders, from totals (groups, _slice, n)."""
-    return with_offsets(totals, groups, "n").select(
-        "_slice", *groups, F.lit(None).cast("double").alias("value"), F.col("_before").alias("n"), F.col("_whole")
+def _starts(totals: DataFrame) -> DataFrame:
+    """The starts of ``_pick`` from totals (gid, metric, _slice, n)."""
+    return with_offsets(totals, ["gid", "metric"], "n").select(
+        "_slice", F.array("gid").alias("own"), "metric", F.lit(None).cast("double").alias("value"), F.col("_before").alias("n"), "_whole"
     )
 
 
@@ -100,15 +150,25 @@ def percentiles(state: DataFrame, groups: Sequence[str], ranks: Sequence[Rank],
     ``state`` may hold a value of a group in several rows, for example of several days.
     Exact for groups of any size: nothing is sampled and no group is gathered. Null
     groups are groups like any other; an empty state gives an empty result; equal values
-    count as often as they come.
+    count as often as they come. Other columns are ignored.
     """
     width = shuffle_width(state.sparkSession)
     bounds = slice_bounds(state, "value", slices or width * SLICES_EACH)
-    rows = merge_counts(state, groups).withColumn("_slice", slice_of(F.col("value"), bounds, groups))
-    totals = rows.groupBy(*groups, "_slice").agg(F.sum("n").alias("n"))
-    counts = rows.select("_slice", *groups, F.col("value").cast("double").alias("value"), "n", F.lit(None).cast("bigint").alias("_whole"))
-    placed = counts.unionByName(_starts(totals, groups)).repartition(width, "_slice")
-    return _pick(placed, groups, ranks)
+    names = cut(state.select(*groups).distinct().withColumn("gid", F.monotonically_increasing_id()))
+    known = names.select(*[F.col(g).alias(f"_g_{g}") for g in groups], "gid")
+    on = None
+    for g in groups:
+        match = F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+        on = match if on is None else on & match
+    merged = merge_counts(state, groups).join(known, on)
+    rows = merged.select(
+        slice_of(F.col("value"), bounds, ["gid"]).alias("_slice"), F.array("gid").alias("own"), "gid",
+        F.lit(0).alias("metric"), F.col("value").cast("double").alias("value"), "n", F.lit(None).cast("bigint").alias("_whole"),
+    )
+    totals = rows.groupBy("gid", "metric", "_slice").agg(F.sum("n").alias("n"))
+    placed = rows.drop("gid").unionByName(_starts(totals)).repartition(width, "_slice")
+    picked = _pick(placed.withColumnRenamed("own", "gids"), ranks)
+    return names.join(picked, "gid").select(*groups, "size", *[r.name for r in ranks])
 
 
 def distinct_samples(samples: DataFrame) -> DataFrame:
@@ -180,25 +240,22 @@ def summary_percentiles(samples: DataFrame, summaries: DataFrame) -> DataFrame:
     one = of_day.where(F.col("term") != "*").groupBy("term", "segment_access", "day").agg(F.collect_list("gid").alias("_one"))
     every = of_day.where(F.col("term") == "*").groupBy("segment_access", "day").agg(F.collect_list("gid").alias("_every"))
 
-    def into_groups(rows: DataFrame, own: Column) -> DataFrame:
-        """Rows once for each group they belong to; ``own`` is an array of groups already known."""
+    def with_groups(rows: DataFrame) -> DataFrame:
+        """``gids``: the groups that rows belong to, besides those in ``own``."""
         none = F.array().cast("array<bigint>")
         joined = rows.join(hint(one), ["term", "segment_access", "day"], "left").join(hint(every), ["segment_access", "day"], "left")
-        all_of = F.concat(F.coalesce("_one", none), F.coalesce("_every", none), F.coalesce(own, none))
-        return joined.withColumn("gid", F.explode(all_of)).drop("_one", "_every")
+        gids = F.concat(*[F.coalesce(c, none) for c in ("_one", "_every", "own")])
+        return joined.withColumn("gids", gids).where(F.size("gids") > 0)
 
     nothing = F.lit(None).cast("array<bigint>")
     counts = duration_counts(samples).withColumn("_slice", slice_of(F.col("value"), bounds, ["term", "day"]))
     cells = counts.groupBy("metric", "term", "segment_access", "day", "_slice").agg(F.sum("n").alias("n"))
-    totals = into_groups(cells, nothing).groupBy("gid", "metric", "_slice").agg(F.sum("n").alias("n"))
-    starts = _starts(totals, ["gid", "metric"]).select(
-        "_slice", "metric", F.array("gid").alias("own"), "value", "n", "_whole",
-        *[F.lit(None).cast(k).alias(c) for c, k in (("term", "string"), ("segment_access", "string"), ("day", "int"))],
-    )
+    of_groups = with_groups(cells.withColumn("own", nothing)).select("metric", "_slice", "n", F.explode("gids").alias("gid"))
+    starts = _starts(of_groups.groupBy("gid", "metric", "_slice").agg(F.sum("n").alias("n")))
     daily = counts.withColumns({"own": nothing, "_whole": F.lit(None).cast("bigint")})
-    placed = daily.unionByName(starts).repartition(width, "_slice")
+    placed = daily.unionByName(starts, allowMissingColumns=True).repartition(width, "_slice")
     ranks = [r for some in PUBLISHED.values() for r in some]
-    picked = _pick(into_groups(placed, F.col("own")), ["gid", "metric"], ranks)
+    picked = _pick(with_groups(placed), ranks)
     return picked.join(groups.select("gid", *names), "gid").withColumn(
         "metric", F.element_at(F.array(*[F.lit(m) for m in METRICS]), F.col("metric") + 1)
     ).drop("gid")
