@@ -4,13 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions.codec import encoded_postings, decoded_postings, varint_hex, varint_value, with_deltas, with_documents
+from ..functions.text import clean_text, cleaned_tokens
+from ..operators.index import (
+    dictionary_of,
+    invariant_violations,
+    manifest_totals,
+    posting_lists,
+    postings_of,
+    segment_stats,
+    table_corpus,
+    with_ordinals,
+)
 from ..runtime import table
+from ..sources.corpus import corpus_faults, lines_of_texts
 from .skew import dictionary_conflicts, posting_counts
+from .snapshot import batch_lookup, lookup_rows, lookup_stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Terms that are looked up: common, the same in another case, rarer, rare, and missing.
+TERMS = {"common": "the", "case": "The", "medium": "lookup", "rare": "frozen", "missing": "zzzmissing"}
+
 #: DuckDB form of the counting postings; used by several oracles.
 COUNTING_SQL = """
 counting as (
@@ -22,17 +40,190 @@ counting as (
 """
 
 
+def _corpus(spark: SparkSession, d: str) -> DataFrame:
+    return table_corpus(table(spark, d, "documents"))
+
+
+def _postings(spark: SparkSession, d: str) -> DataFrame:
+    return postings_of(_corpus(spark, d))
+
+
+def _stats(spark: SparkSession, d: str) -> DataFrame:
+    corpus = _corpus(spark, d)
+    return segment_stats(dictionary_of(postings_of(corpus)), corpus)
+
+
+def _lookup(term: str) -> Query:
+    return lambda spark, d: lookup_rows(_postings(spark, d), term)
+
+
+def _lookup_stats(spark: SparkSession, d: str) -> DataFrame:
+    corpus = _corpus(spark, d)
+    dictionary = dictionary_of(postings_of(corpus))
+    segments = segment_stats(dictionary, corpus)
+    each = [lookup_stats(dictionary, segments, t).withColumn("term", F.lit(t)) for t in TERMS.values()]
+    out = each[0]
+    for other in each[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+def _roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    keys = ["segment_id", "term"]
+    deltas = with_deltas(_postings(spark, d))
+    again = with_documents(deltas, keys, "local_document_id", "again")
+    return again.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("again") != F.col("local_document_id")).alias("bad"))
+
+
+def _codec_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Postings encoded to bytes and decoded again."""
+    return decoded_postings(encoded_postings(_postings(spark, d))).where(F.col("error").isNull()).drop("error")
+
+
+def _batch(spark: SparkSession, d: str) -> DataFrame:
+    terms = spark.createDataFrame([(t,) for t in TERMS.values()], "term string")
+    return batch_lookup(_postings(spark, d), terms).groupBy("term").agg(F.count("segment_id").alias("matched"))
+
+
 def queries() -> dict[str, Query]:
     """The core's queries by name."""
-    return {
+    found: dict[str, Query] = {
+        "corpus_clean": lambda spark, d: table(spark, d, "documents")
+        .select("doc_id", clean_text(F.col("text")).alias("c"))
+        .where(F.col("c") != ""),
+        "corpus_lines": lambda spark, d: lines_of_texts(table(spark, d, "documents")),
+        "validation_errors": lambda spark, d: corpus_faults(table(spark, d, "documents")),
+        "document_numbers": lambda spark, d: _corpus(spark, d),
+        "token_count": lambda spark, d: table(spark, d, "documents").agg(
+            F.coalesce(F.sum(F.size(cleaned_tokens(clean_text(F.coalesce("text", F.lit("")))))), F.lit(0)).alias("n")
+        ),
+        "postings": _postings,
+        "posting_lists": lambda spark, d: posting_lists(_postings(spark, d)).select(
+            "segment_id", "term", F.to_json("postings").alias("postings")
+        ),
+        "dictionary": lambda spark, d: dictionary_of(_postings(spark, d)),
+        "term_ordinals": lambda spark, d: with_ordinals(_postings(spark, d).select("segment_id", "term").distinct()).select(
+            "segment_id", "term", F.col("term_ordinal").alias("ord")
+        ),
+        "segment_stats": _stats,
+        "index_stats": lambda spark, d: _postings(spark, d)
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("posting_count"), F.count(F.lit(1)).alias("terms")),
+        "manifest_totals": lambda spark, d: manifest_totals(_stats(spark, d)),
+        "published_totals": lambda spark, d: manifest_totals(
+            table(spark, d, "manifest_segments").select(
+                F.col("document_count").alias("documents"), F.col("length_bytes").alias("segment_bytes"), "term_count"
+            )
+        ),
+        "lookup_stats": _lookup_stats,
+        "batch_lookup": _batch,
+        "delta_roundtrip": _roundtrip,
+        "codec_postings": lambda spark, d: encoded_postings(_postings(spark, d)).select(
+            "segment_id", "term", "document_frequency", F.octet_length("encoded").cast("bigint").alias("bytes")
+        ),
+        "codec_roundtrip": _codec_roundtrip,
+        "codec_varint": lambda spark, d: table(spark, d, "dictionary")
+        .select(F.col("document_frequency").alias("n"))
+        .where("n between 0 and 4294967295")
+        .distinct()
+        .select("n", varint_hex(F.col("n")).alias("bytes"), varint_value(F.unhex(varint_hex(F.col("n")))).alias("again")),
+        "crc32": lambda spark, d: table(spark, d, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc")),
+        "invariants": lambda spark, d: invariant_violations(
+            _postings(spark, d), _corpus(spark, d).groupBy("segment_id").agg(F.count(F.lit(1)).alias("documents"))
+        ),
+        "top_terms": lambda spark, d: _postings(spark, d)
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("df"))
+        .orderBy(F.desc("df"), "term")
+        .limit(20),
         "p3_counts": lambda spark, d: posting_counts(table(spark, d, "postings")),
         "p3_found": lambda spark, d: dictionary_conflicts(table(spark, d, "postings"), table(spark, d, "dictionary")),
     }
+    for name, term in TERMS.items():
+        found[f"lookup_{name}"] = _lookup(term)
+    return found
+
+
+_VL = "case when {0} < 128 then 1 when {0} < 16384 then 2 when {0} < 2097152 then 3 when {0} < 268435456 then 4 else 5 end"
+
+_BASE_SQL = f"""
+cl as (select doc_id, trim(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')) as c from documents),
+d as (select doc_id, c, cast(doc_id % 4 + 1 as bigint) as segment_id,
+        cast(row_number() over (partition by doc_id % 4 order by doc_id) - 1 as bigint) as local_document_id
+      from cl where c <> ''),
+tok as (select segment_id, local_document_id, unnest(string_split(c, ' ')) as term from d),
+post as (select segment_id, term, local_document_id, cast(count(*) as bigint) as term_frequency from tok group by 1, 2, 3),
+dl as (select *, local_document_id - coalesce(lag(local_document_id) over (partition by segment_id, term order by local_document_id), 0) as delta
+       from post),
+dict as (select segment_id, term, cast(count(*) as bigint) as document_frequency,
+           cast(sum({_VL.format("delta")} + {_VL.format("term_frequency")}) as bigint) as postings_bytes from dl group by 1, 2),
+seg as (select segment_id, cast(count(*) as bigint) as term_count,
+          cast(30 + sum(24 + {_VL.format("length(term)")} + length(term) + {_VL.format("document_frequency")} + postings_bytes) as bigint) as segment_bytes
+        from dict group by 1),
+docs as (select segment_id, count(*) as documents from d group by 1)
+"""
+
+#: White space of the grammar: Unicode White_Space as an explicit class, which DuckDB's patterns know.
+_WS = r"[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def _lookup_stats_sql(term: str) -> str:
+    """One row of lookup statistics; the search is stepped through by recursion."""
+    return f"""
+    select '{term}' as term, cast(count(*) as bigint) as searched, cast(count(*) filter (found) as bigint) as matching,
+      cast(coalesce(sum(c), 0) as bigint) as comparisons, cast(sum(df) as bigint) as matched, cast(sum(pb) as bigint) as bytes
+    from (
+      with recursive probe as (select segment_id, count(*) as n, sum(case when term < '{term}' then 1 else 0 end) as r,
+            max(case when term = '{term}' then 1 else 0 end) = 1 as found,
+            coalesce(sum(case when term = '{term}' then document_frequency end), 0) as df,
+            coalesce(sum(case when term = '{term}' then postings_bytes end), 0) as pb from dict group by 1),
+      bs as (select segment_id, cast(0 as bigint) as lo, cast(n as bigint) as hi, cast(0 as bigint) as c, false as done, r, found from probe
+        union all
+        select segment_id,
+          case when found and (lo + hi) // 2 = r then lo when (lo + hi) // 2 < r then (lo + hi) // 2 + 1 else lo end,
+          case when found and (lo + hi) // 2 = r then hi when (lo + hi) // 2 < r then hi else (lo + hi) // 2 end,
+          c + 1, found and (lo + hi) // 2 = r, r, found from bs where not done and lo < hi)
+      select probe.segment_id, any_value(probe.found) as found, max(bs.c) as c, any_value(df) as df, any_value(pb) as pb
+      from probe join bs using (segment_id) group by 1)"""
 
 
 def oracle_sql() -> dict[str, str]:
     """Equivalent DuckDB SQL by query name."""
-    return {
+    base = f"with {_BASE_SQL}"
+    found = {
+        "corpus_clean": f"{base} select doc_id, c from cl where c <> ''",
+        "corpus_lines": """
+            with l as (select doc_id, unnest(string_split(text, chr(10))) as ln,
+                         generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
+            c as (select doc_id, pos, trim(regexp_replace(ln, '[^A-Za-z0-9]+', ' ', 'g')) as c from l)
+            select doc_id, cast(row_number() over (partition by doc_id order by pos) - 1 as bigint) as local_document_id, c
+            from c where c <> ''""",
+        "validation_errors": f"""
+            with t as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_WS}'), lambda x: x <> '') as toks from documents),
+            b as (select doc_id, len(toks) as n, list_filter(toks, lambda x: not regexp_full_match(x, '[A-Za-z0-9]+')) as bad from t)
+            select doc_id, cast(n as bigint) as n_tokens, cast(len(bad) as bigint) as n_bad, bad[1] as first_bad from b""",
+        "document_numbers": f"{base} select segment_id, local_document_id, c from d",
+        "token_count": f"{base} select count(*) as n from tok",
+        "postings": f"{base} select * from post",
+        "dictionary": f"{base} select * from dict",
+        "term_ordinals": f"""{base} select segment_id, term,
+            cast(row_number() over (partition by segment_id order by term) - 1 as bigint) as ord from dict""",
+        "segment_stats": f"{base} select segment_id, documents, term_count, segment_bytes from docs join seg using (segment_id)",
+        "index_stats": f"{base} select count(*) as posting_count, count(distinct term) as terms from post",
+        "manifest_totals": f"""{base} select count(*) as segments, cast(sum(documents) as bigint) as documents,
+            cast(sum(segment_bytes) as bigint) as bytes, cast(sum(term_count) as bigint) as term_entries from docs join seg using (segment_id)""",
+        "published_totals": """select count(*) as segments, cast(sum(document_count) as bigint) as documents,
+            cast(sum(length_bytes) as bigint) as bytes, cast(sum(term_count) as bigint) as term_entries from manifest_segments""",
+        "lookup_stats": f"{base} " + " union all ".join(_lookup_stats_sql(t) for t in TERMS.values()),
+        "batch_lookup": f"""{base}, w as (select unnest({list(TERMS.values())}) as term)
+            select w.term, count(post.term) as matched from w left join post on post.term = w.term group by 1""",
+        "delta_roundtrip": f"{base} select count(*) as total, cast(0 as bigint) as bad from post",
+        "codec_postings": f"{base} select segment_id, term, document_frequency, postings_bytes as bytes from dict",
+        "codec_roundtrip": f"{base} select * from post",
+        "invariants": """select cast(0 as bigint) as empty_term, cast(0 as bigint) as zero_tf,
+            cast(0 as bigint) as unknown_doc, cast(0 as bigint) as repeated_doc""",
+        "top_terms": f"{base} select term, count(*) as df from post group by 1 order by 2 desc, 1 limit 20",
         "p3_counts": f"with {COUNTING_SQL} select segment_id, term, count(*) as postings from counting group by 1, 2",
         "p3_found": f"""
             with {COUNTING_SQL}, n as (select segment_id, term, count(*) as n from counting group by 1, 2)
@@ -41,3 +232,6 @@ def oracle_sql() -> dict[str, str]:
             where n.n is null and d.document_frequency is distinct from 0
                or n.n is not null and d.document_frequency is distinct from n.n""",
     }
+    for name, term in TERMS.items():
+        found[f"lookup_{name}"] = f"{base} select segment_id, local_document_id, term_frequency from post where term = '{term}'"
+    return found
