@@ -78,7 +78,8 @@ def create_index(storage: IndexStorage, corpus: str | Sequence[str], segment_id:
 
 def build_segment(storage: IndexStorage, snapshot: IndexSnapshot, corpus: str | Sequence[str]) -> CreationStats:
     """Write a segment, publish the next manifest, which makes it visible, and move the snapshot to it."""
-    metadata, stats = create_index(storage, corpus)
+    # The number is taken first: a build that fails leaves a gap.
+    metadata, stats = create_index(storage, corpus, storage.reserve_segment_id())
     manifest = snapshot.manifest_with_segment(storage.load_segment_metadata(metadata.segment_id))
     snapshot.refresh(storage.publish_manifest(manifest), manifest)
     return stats

@@ -61,11 +61,7 @@ def _lookup_stats(spark: SparkSession, d: str) -> DataFrame:
     corpus = _corpus(spark, d)
     dictionary = dictionary_of(postings_of(corpus))
     segments = segment_stats(dictionary, corpus)
-    each = [lookup_stats(dictionary, segments, t).withColumn("term", F.lit(t)) for t in TERMS.values()]
-    out = each[0]
-    for other in each[1:]:
-        out = out.unionByName(other)
-    return out
+    return lookup_stats(dictionary, segments, list(TERMS.values()))
 
 
 def _roundtrip(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,32 +30,49 @@ def lookup_rows(postings: DataFrame, term: str) -> DataFrame:
     return postings.where(F.col("term") == term).select(*LOOKUP.names).orderBy("segment_id", "local_document_id")
 
 
-def lookup_stats(dictionary: DataFrame, segments: DataFrame, term: str) -> DataFrame:
-    """One row (searched, matching, comparisons, matched, bytes) for a term.
+def lookup_stats(dictionary: DataFrame, segments: DataFrame, terms: str | Sequence[str]) -> DataFrame:
+    """One row (term, searched, matching, comparisons, matched, bytes) for each given term.
 
     ``segments`` has (segment_id, term_count) of every visible segment; one without terms
-    is searched with no comparison. Only segment_id, term and two counts of the
-    dictionary are read.
+    is searched with no comparison. The dictionary is read once, and of it only
+    segment_id, term and two counts.
     """
-    check_query_term(term)
-    here = F.col("term") == term
-    probed = dictionary.groupBy("segment_id").agg(
-        F.count_if(F.col("term") < term).alias("rank"),
-        F.max(here).alias("found"),
-        F.sum(F.when(here, F.col("document_frequency"))).alias("df"),
-        F.sum(F.when(here, F.col("postings_bytes"))).alias("pb"),
-    )
-    each = segments.select("segment_id", "term_count").join(probed, "segment_id", "left")
-    found = F.coalesce("found", F.lit(False))
-    asked = comparisons(F.col("term_count"), F.coalesce("rank", F.lit(0)), found)
+    asked = [check_query_term(t) for t in ([terms] if isinstance(terms, str) else terms)]
+    figures = []
+    for i, term in enumerate(asked):
+        here = F.col("term") == term
+        figures += [
+            F.count_if(F.col("term") < term).alias(f"rank{i}"),
+            F.max(here).alias(f"found{i}"),
+            F.sum(F.when(here, F.col("document_frequency"))).alias(f"df{i}"),
+            F.sum(F.when(here, F.col("postings_bytes"))).alias(f"pb{i}"),
+        ]
+    each = segments.select("segment_id", "term_count").join(dictionary.groupBy("segment_id").agg(*figures), "segment_id", "left")
     zero = F.lit(0).cast("bigint")
-    return each.select(found.alias("found"), asked.alias("asked"), "df", "pb").agg(
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(term).alias("term"),
+                F.coalesce(f"found{i}", F.lit(False)).alias("found"),
+                F.coalesce(f"rank{i}", zero).alias("rank"),
+                F.coalesce(f"df{i}", zero).alias("df"),
+                F.coalesce(f"pb{i}", zero).alias("pb"),
+            )
+            for i, term in enumerate(asked)
+        ]
+    )
+    probed = each.select("term_count", F.explode(rows).alias("p")).select("term_count", "p.*")
+    counted = probed.withColumn("asked", comparisons(F.col("term_count"), F.col("rank"), F.col("found")))
+    found = counted.groupBy("term").agg(
         F.count(F.lit(1)).alias("searched"),
         F.count_if("found").alias("matching"),
-        F.coalesce(F.sum("asked"), zero).alias("comparisons"),
-        F.coalesce(F.sum("df"), zero).alias("matched"),
-        F.coalesce(F.sum("pb"), zero).alias("bytes"),
+        F.sum("asked").alias("comparisons"),
+        F.sum("df").alias("matched"),
+        F.sum("pb").alias("bytes"),
     )
+    # An index without segments is searched too, with nothing to find.
+    wanted = dictionary.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(asked)], "term string")
+    return wanted.join(found, "term", "left").na.fill(0)
 
 
 def batch_lookup(postings: DataFrame, terms: DataFrame) -> DataFrame:
