@@ -12,10 +12,18 @@ from ..operators.postings import TERM_PATTERN
 #: Runs of Unicode White_Space; the plain \s class of Java knows only the ASCII ones.
 WHITE_SPACE = r"\p{IsWhite_Space}+"
 
+#: Runs that the cleaner keeps. A positive class: negated ones are matched ten times slower.
+KEPT = "([A-Za-z0-9]+)"
+
+
+def words(value: Column) -> Column:
+    """Array of the runs of ASCII letters and digits, the tokens of a cleaned text; null for null."""
+    return F.regexp_extract_all(value, F.lit(KEPT), 1)
+
 
 def clean_text(value: Column) -> Column:
     """Runs of anything but ASCII letters and digits become one blank; outer blanks go. Null stays null."""
-    return F.trim(F.regexp_replace(value, "[^A-Za-z0-9]+", " "))
+    return F.array_join(words(value), " ")
 
 
 def tokens(value: Column) -> Column:
@@ -23,11 +31,6 @@ def tokens(value: Column) -> Column:
     return F.filter(F.split(value, WHITE_SPACE), lambda t: t != "")
 
 
-def cleaned_tokens(cleaned: Column) -> Column:
-    """Tokens of a text from ``clean_text``, which has single blanks only."""
-    return F.filter(F.split(cleaned, " "), lambda t: t != "")
-
-
 def is_term(token: Column) -> Column:
     """Whether a token keeps to the grammar: one or more ASCII letters and digits."""
     return token.rlike(TERM_PATTERN)

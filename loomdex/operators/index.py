@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codec import varint_length
-from ..functions.text import clean_text, cleaned_tokens
+from ..functions.text import words
 from ..runtime import shuffle_width
 from .salted import heavy_keys
 from .slices import running_total, slice_bounds, slice_of
@@ -18,43 +21,51 @@ DOCUMENT_RANGE = 1 << 16
 SLICES_EACH = 4
 
 
-def number_documents(documents: DataFrame, key: str = "doc_id", segment: str = "segment_id") -> DataFrame:
-    """Add ``local_document_id``: 0-based within each segment in the order of ``key``.
+def number_documents(documents: DataFrame, key: str = "doc_id", segment: str = "segment_id", bounds: list | None = None) -> DataFrame:
+    """Add ``local_document_id``, 0-based within each segment in the order of ``key``, and ``_slice``.
 
     The numbers come from range slices, so a segment of any size is spread over all
     partitions. Keys should be whole numbers and unique in their segment; rows with a
-    null key come first.
+    null key come first. ``bounds`` of the slices may be given if they come cheaper from
+    elsewhere; any ascending ones are right.
     """
     width = shuffle_width(documents.sparkSession)
-    bounds = slice_bounds(documents, key, width * SLICES_EACH)
+    if bounds is None:
+        bounds = slice_bounds(documents, key, width * SLICES_EACH)
     sliced = documents.withColumns({"_slice": F.coalesce(slice_of(F.col(key), bounds), F.lit(0)), "_one": F.lit(1)})
     counted = running_total(sliced, [segment], [key], "_one", "_n", width)
-    return counted.withColumn("local_document_id", (F.col("_n") - 1).cast("bigint")).drop("_slice", "_one", "_n")
+    return counted.withColumn("local_document_id", (F.col("_n") - 1).cast("bigint")).drop("_one", "_n")
 
 
 def table_corpus(documents: DataFrame, segments: int = 4) -> DataFrame:
-    """(segment_id, local_document_id, c) of a documents table: cleaned texts, dealt out to segments by doc_id.
+    """(_slice, segment_id, local_document_id, text) of a documents table, dealt out to segments by doc_id.
 
-    Null and empty texts and those that clean to nothing are no documents and get no number.
+    Null and empty texts and those that clean to nothing are no documents and get no
+    number. The texts are shuffled once, by ``_slice``.
     """
-    cleaned = documents.select("doc_id", clean_text(F.col("text")).alias("c")).where(F.col("c") != "")
-    placed = cleaned.withColumn("segment_id", (F.pmod("doc_id", F.lit(segments)) + 1).cast("bigint"))
-    return number_documents(placed).select("segment_id", "local_document_id", "c")
+    bounds = slice_bounds(documents, "doc_id", shuffle_width(documents.sparkSession) * SLICES_EACH)
+    some = documents.select("doc_id", "text").where(F.col("text").rlike("[A-Za-z0-9]"))
+    placed = some.withColumn("segment_id", (F.pmod("doc_id", F.lit(segments)) + 1).cast("bigint"))
+    return number_documents(placed, bounds=bounds).select("_slice", "segment_id", "local_document_id", "text")
 
 
 def term_frequencies(corpus: DataFrame, tokens: Column) -> DataFrame:
-    """(segment_id, term, local_document_id, term_frequency) of a corpus.
+    """(segment_id, term, local_document_id, term_frequency) of a corpus; empty tokens don't count.
 
-    Tokens are counted on the map side first; the shuffle is keyed by term and document
-    together, so neither a common term nor a long document fills one task.
+    A corpus that was dealt out by ``_slice`` has each document in one task, so its terms
+    are counted there without a shuffle. Otherwise tokens are counted on the map side
+    first, and the shuffle is keyed by term and document together, so that neither a
+    common term nor a long document fills one task.
     """
-    flat = corpus.select("segment_id", "local_document_id", F.explode(tokens).alias("term"))
-    return flat.groupBy("segment_id", "term", "local_document_id").agg(F.count(F.lit(1)).alias("term_frequency"))
+    where = ["_slice"] if "_slice" in corpus.columns else []
+    flat = corpus.select(*where, "segment_id", "local_document_id", F.explode(tokens).alias("term")).where(F.col("term") != "")
+    counted = flat.groupBy(*where, "segment_id", "term", "local_document_id").agg(F.count(F.lit(1)).alias("term_frequency"))
+    return counted.drop(*where)
 
 
-def postings_of(corpus: DataFrame) -> DataFrame:
-    """Postings of a cleaned corpus."""
-    return term_frequencies(corpus, cleaned_tokens(F.col("c")))
+def postings_of(corpus: DataFrame, text: str = "text") -> DataFrame:
+    """Postings of texts, which are cleaned on the way."""
+    return term_frequencies(corpus, words(F.col(text)))
 
 
 def posting_lists(postings: DataFrame) -> DataFrame:
@@ -71,6 +82,9 @@ def dictionary_of(postings: DataFrame) -> DataFrame:
     row, so no term has to fit into one task.
     """
     keys = ["segment_id", "term"]
+    # With the same condition everywhere, the three uses read one shuffle of the postings.
+    known = [F.col(c).isNotNull() for c in (*keys, "local_document_id")]
+    postings = postings.where(reduce(and_, known, F.col("term_frequency") > 0))
     hot = heavy_keys(postings, keys).select(*keys, F.lit(True).alias("_hot"))
     # At most HEAVY_SHARE rows, whatever the size of the data.
     ranged = postings.join(F.broadcast(hot), keys, "left").select(

@@ -9,7 +9,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text, tokens
+from ..functions.text import tokens
 from ..operators.index import number_documents, postings_of, term_frequencies
 from ..schemas import CREATION_STATS, U32_MAX
 from ..sources.corpus import CorpusError, check_lines, input_bytes, read_lines
@@ -86,11 +86,11 @@ def build_segment(storage: IndexStorage, snapshot: IndexSnapshot, corpus: str |
 
 
 def publish_table_segment(storage: IndexStorage, snapshot: IndexSnapshot, documents: DataFrame, text: str = "text", key: str = "doc_id") -> SegmentMetadata:
-    """The same for a table of texts, which are cleaned first and numbered in the order of the key."""
+    """The same for a table of texts, which are cut as the cleaner would and numbered in the order of the key."""
     segment_id = storage.reserve_segment_id()
-    cleaned = documents.select(F.col(key).alias("doc_id"), clean_text(F.col(text)).alias("c")).where(F.col("c") != "")
-    corpus = number_documents(cleaned.withColumn("segment_id", F.lit(segment_id).cast("bigint")))
-    metadata = storage.write_segment(segment_id, postings_of(corpus), cleaned.count())
+    some = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").rlike("[A-Za-z0-9]"))
+    corpus = number_documents(some.withColumn("segment_id", F.lit(segment_id).cast("bigint")))
+    metadata = storage.write_segment(segment_id, postings_of(corpus), some.count())
     manifest = snapshot.manifest_with_segment(metadata)
     snapshot.refresh(storage.publish_manifest(manifest), manifest)
     return metadata

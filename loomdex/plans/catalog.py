@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.codec import encoded_postings, decoded_postings, varint_hex, varint_value, with_deltas, with_documents
-from ..functions.text import clean_text, cleaned_tokens
+from ..functions.text import clean_text, words
 from ..operators.index import (
     dictionary_of,
     invariant_violations,
@@ -19,7 +19,7 @@ from ..operators.index import (
     table_corpus,
     with_ordinals,
 )
-from ..runtime import table
+from ..runtime import cut, table
 from ..sources.corpus import corpus_faults, lines_of_texts
 from .skew import dictionary_conflicts, posting_counts
 from .snapshot import batch_lookup, lookup_rows, lookup_stats
@@ -48,9 +48,13 @@ def _postings(spark: SparkSession, d: str) -> DataFrame:
     return postings_of(_corpus(spark, d))
 
 
+def _dictionary(spark: SparkSession, d: str) -> DataFrame:
+    # As in a stored segment, the postings are written once and then read.
+    return dictionary_of(cut(_postings(spark, d)))
+
+
 def _stats(spark: SparkSession, d: str) -> DataFrame:
-    corpus = _corpus(spark, d)
-    return segment_stats(dictionary_of(postings_of(corpus)), corpus)
+    return segment_stats(_dictionary(spark, d), _corpus(spark, d))
 
 
 def _lookup(term: str) -> Query:
@@ -58,9 +62,8 @@ def _lookup(term: str) -> Query:
 
 
 def _lookup_stats(spark: SparkSession, d: str) -> DataFrame:
-    corpus = _corpus(spark, d)
-    dictionary = dictionary_of(postings_of(corpus))
-    segments = segment_stats(dictionary, corpus)
+    dictionary = cut(_dictionary(spark, d))
+    segments = segment_stats(dictionary, _corpus(spark, d))
     return lookup_stats(dictionary, segments, list(TERMS.values()))
 
 
@@ -89,15 +92,17 @@ def queries() -> dict[str, Query]:
         .where(F.col("c") != ""),
         "corpus_lines": lambda spark, d: lines_of_texts(table(spark, d, "documents")),
         "validation_errors": lambda spark, d: corpus_faults(table(spark, d, "documents")),
-        "document_numbers": lambda spark, d: _corpus(spark, d),
+        "document_numbers": lambda spark, d: _corpus(spark, d).select(
+            "segment_id", "local_document_id", clean_text(F.col("text")).alias("c")
+        ),
         "token_count": lambda spark, d: table(spark, d, "documents").agg(
-            F.coalesce(F.sum(F.size(cleaned_tokens(clean_text(F.coalesce("text", F.lit("")))))), F.lit(0)).alias("n")
+            F.coalesce(F.sum(F.size(words(F.coalesce("text", F.lit(""))))), F.lit(0)).alias("n")
         ),
         "postings": _postings,
         "posting_lists": lambda spark, d: posting_lists(_postings(spark, d)).select(
             "segment_id", "term", F.to_json("postings").alias("postings")
         ),
-        "dictionary": lambda spark, d: dictionary_of(_postings(spark, d)),
+        "dictionary": _dictionary,
         "term_ordinals": lambda spark, d: with_ordinals(_postings(spark, d).select("segment_id", "term").distinct()).select(
             "segment_id", "term", F.col("term_ordinal").alias("ord")
         ),

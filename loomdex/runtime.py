@@ -48,3 +48,13 @@ def shuffle_width(spark: SparkSession, per_core: int = 1) -> int:
     Follows ``spark.sql.shuffle.partitions``, which a deployment sizes to its data.
     """
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * per_core)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for work that is long for each row.
+
+    A scan of many files or large ones comes back as it is; only one that would leave
+    cores idle is dealt out, which then moves little.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
