@@ -54,7 +54,11 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores, for work that is long for each row.
 
     A scan of many files or large ones comes back as it is; only one that would leave
-    cores idle is dealt out, which then moves little.
+    cores idle is dealt out, which then moves little. A plan with a shuffle or join of its
+    own also comes back as it is.
     """
+    run = df._jdf.queryExecution()
+    if run.executedPlan().nodeName().startswith("Adaptive"):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+    return df if run.toRdd().getNumPartitions() >= cores else df.repartition(cores)
