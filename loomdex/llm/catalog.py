@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.catalog import COUNTING_SQL
-from ..runtime import table
+from ..runtime import spread, table
 from .cooccurrence import strong_pairs, term_pairs
 from .encoding import decode_ids, encode_texts
 from .frequencies import marked_terms, useless_terms
@@ -20,6 +20,10 @@ from .topn import top_postings
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def _stretches(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
     found = identify_languages(documents, language_model(table(spark, d, "language_samples"), documents))
@@ -42,8 +46,8 @@ def queries() -> dict[str, Query]:
             F.col("item_a").alias("term_a"), F.col("item_b").alias("term_b"), "together", F.round("ratio", 6).alias("ratio")
         ),
         "p5_found": lambda spark, d: top_postings(table(spark, d, "postings")),
-        "p6_ids": lambda spark, d: encode_texts(table(spark, d, "documents")),
-        "p6_decoded": lambda spark, d: decode_ids(encode_texts(table(spark, d, "documents"))),
+        "p6_ids": lambda spark, d: encode_texts(_texts(spark, d)),
+        "p6_decoded": lambda spark, d: decode_ids(encode_texts(_texts(spark, d))),
         "p8_found": lambda spark, d: mislabelled(table(spark, d, "documents"), table(spark, d, "language_samples")),
         "p8_stretches": _stretches,
         "p7_found": lambda spark, d: short_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")),

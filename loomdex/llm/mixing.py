@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.slices import running_total, slice_of
-from ..runtime import cut, shuffle_width
+from ..runtime import cut, shuffle_width, spread
 from .encoding import BYTE_BPE, count_tokens
 
 #: Slices for each partition.
@@ -48,7 +48,7 @@ def source_queues(documents: DataFrame, targets: DataFrame, file: str = BYTE_BPE
     if targets.count() <= BROADCAST_TARGETS:
         wanted = F.broadcast(wanted)
     rows = (
-        documents.select("doc_id", "text", normal_source(F.col("source")).alias("_source"))
+        spread(documents.select("doc_id", "text", normal_source(F.col("source")).alias("_source")))
         .where(F.col("text").isNotNull() & F.col("_source").isNotNull())
         .join(wanted, "_source", "left_semi")
         .select("_source", "doc_id", F.xxhash64(F.lit(seed), "doc_id", "text").alias("mixed"), "text")
