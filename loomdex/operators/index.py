@@ -18,7 +18,7 @@ from .slices import running_total, slice_bounds, slice_of
 SEGMENT_BYTES, TERM_BYTES = 30, 24
 #: Documents of a hot term whose distances are worked out together.
 DOCUMENT_RANGE = 1 << 16
-SLICES_EACH = 4
+SLICES_EACH = 2
 
 
 def number_documents(documents: DataFrame, key: str = "doc_id", segment: str = "segment_id", bounds: list | None = None) -> DataFrame:

@@ -57,6 +57,14 @@ def slice_of(value: Column, bounds: Sequence[float], spread: Sequence[str] = ())
     return (low + F.pmod(F.xxhash64(*spread), (high - low + 1).cast("bigint"))).cast("int")
 
 
+def deal(rows: DataFrame, width: int) -> DataFrame:
+    """Rows dealt to ``width`` partitions by ``_slice``, the slices in turn, so each gets as many.
+
+    What is grouped by ``_slice`` afterwards needs no further shuffle.
+    """
+    return rows.repartitionById(width, F.col("_slice"))
+
+
 def with_offsets(totals: DataFrame, groups: Sequence[str], amount: str) -> DataFrame:
     """Add to one total per (groups, ``_slice``) the ``_before`` of earlier slices and the group's ``_whole``.
 
@@ -86,4 +94,4 @@ def running_total(rows: DataFrame, groups: Sequence[str], order: Sequence[str],
     every = rows.withColumn("_start", F.lit(None).cast("bigint")).unionByName(starts)
     local = Window.partitionBy("_slice", *groups).orderBy(F.col("_start").asc_nulls_last(), *order)
     total = F.sum(F.coalesce("_start", amount, F.lit(0))).over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return every.repartition(width, "_slice").withColumn(name, total).where(F.col("_start").isNull()).drop("_start")
+    return deal(every, width).withColumn(name, total).where(F.col("_start").isNull()).drop("_start")
