@@ -16,7 +16,7 @@ from ..runtime import cut, shuffle_width, spread
 from .encoding import BYTE_BPE, count_tokens
 
 #: Slices for each partition.
-SLICES_EACH = 4
+SLICES_EACH = 2
 #: Most rows of targets that are broadcast; more are joined by a shuffle.
 BROADCAST_TARGETS = 10_000
 SEED = 20_190_107

@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.slices import slice_bounds, slice_of, with_offsets
+from ..operators.slices import deal, slice_bounds, slice_of, with_offsets
 from ..runtime import cut, shuffle_width
 
-#: Slices for each partition; more than one, as slices are dealt to partitions by hash.
-SLICES_EACH = 4
+#: Slices for each partition; more than one, as no two are of quite the same size.
+SLICES_EACH = 2
 #: Most rows of the table from days to periods that is broadcast; a larger one is joined by a shuffle.
 BROADCAST_DAYS = 1_000_000
 METRICS = ("segment_open", "total")
@@ -166,7 +166,7 @@ def percentiles(state: DataFrame, groups: Sequence[str], ranks: Sequence[Rank],
         F.lit(0).alias("metric"), F.col("value").cast("double").alias("value"), "n", F.lit(None).cast("bigint").alias("_whole"),
     )
     totals = rows.groupBy("gid", "metric", "_slice").agg(F.sum("n").alias("n"))
-    placed = rows.drop("gid").unionByName(_starts(totals)).repartition(width, "_slice")
+    placed = deal(rows.drop("gid").unionByName(_starts(totals)), width)
     picked = _pick(placed.withColumnRenamed("own", "gids"), ranks)
     return names.join(picked, "gid").select(*groups, "size", *[r.name for r in ranks])
 
@@ -235,7 +235,8 @@ def summary_percentiles(samples: DataFrame, summaries: DataFrame) -> DataFrame:
     )
     groups = cut(spans)
     days = groups.agg(F.coalesce(F.sum(F.col("_to") - F.col("_from") + 1), F.lit(0))).first()[0]
-    hint = F.broadcast if days <= BROADCAST_DAYS else (lambda d: d)
+    few = days <= BROADCAST_DAYS
+    hint = F.broadcast if few else (lambda d: d)
     of_day = groups.withColumn("day", F.explode(F.sequence("_from", "_to")))
     one = of_day.where(F.col("term") != "*").groupBy("term", "segment_access", "day").agg(F.collect_list("gid").alias("_one"))
     every = of_day.where(F.col("term") == "*").groupBy("segment_access", "day").agg(F.collect_list("gid").alias("_every"))
@@ -253,9 +254,11 @@ def summary_percentiles(samples: DataFrame, summaries: DataFrame) -> DataFrame:
     of_groups = with_groups(cells.withColumn("own", nothing)).select("metric", "_slice", "n", F.explode("gids").alias("gid"))
     starts = _starts(of_groups.groupBy("gid", "metric", "_slice").agg(F.sum("n").alias("n")))
     daily = counts.withColumns({"own": nothing, "_whole": F.lit(None).cast("bigint")})
-    placed = daily.unionByName(starts, allowMissingColumns=True).repartition(width, "_slice")
+    rows = daily.unionByName(starts, allowMissingColumns=True)
     ranks = [r for some in PUBLISHED.values() for r in some]
-    picked = _pick(with_groups(placed), ranks)
+    # A broadcast join leaves the slices in place; one by a shuffle must come before they are dealt out.
+    placed = with_groups(deal(rows, width)) if few else deal(with_groups(rows), width)
+    picked = _pick(placed, ranks)
     return picked.join(groups.select("gid", *names), "gid").withColumn(
         "metric", F.element_at(F.array(*[F.lit(m) for m in METRICS]), F.col("metric") + 1)
     ).drop("gid")

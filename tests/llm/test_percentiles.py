@@ -120,7 +120,17 @@ def test_large_day_tables_are_joined_the_other_way(spark, monkeypatch):
     left, right = spark.createDataFrame(made(), SAMPLES), spark.createDataFrame([(1, day(0), 9, "*", "reused", *[7.0] * 4)], SUMMARIES)
     before = rows(unfit_figures(left, right))
     monkeypatch.setattr(P, "BROADCAST_DAYS", 0)
-    assert rows(unfit_figures(left, right)) == before == [(1, "total", "median"), (1, "total", "p95")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert rows(unfit_figures(left, right)) == before == [(1, "total", "median"), (1, "total", "p95")]
+        many = spark.createDataFrame([(i, day(i % 9), 1 + i % 3, t, a, *[7.0] * 4) for i, (t, a) in enumerate((t, a) for t in ("*", "the", "a") for a in ("opened", "reused"))], SUMMARIES)
+        groups = python_groups(made(), [tuple(r[1:5]) for r in many.collect()])
+        found = {tuple(r[:5]): (r["size"], r["median"]) for r in summary_percentiles(left, many).select("period_start", "period_days", "term", "segment_access", "metric", "size", "median").collect()}
+        assert found == {k: (len(v), reached(v, 0.5)) for k, v in groups.items()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_first_arrival_counts(spark):
