@@ -37,16 +37,21 @@ def number_documents(documents: DataFrame, key: str = "doc_id", segment: str = "
     return counted.withColumn("local_document_id", (F.col("_n") - 1).cast("bigint")).drop("_one", "_n")
 
 
-def table_corpus(documents: DataFrame, segments: int = 4) -> DataFrame:
-    """(_slice, segment_id, local_document_id, text) of a documents table, dealt out to segments by doc_id.
+def placed_texts(documents: DataFrame, segments: int = 4) -> DataFrame:
+    """(doc_id, text, segment_id) of the texts that clean to something, dealt out to segments by doc_id.
 
-    Null and empty texts and those that clean to nothing are no documents and get no
-    number. The texts are shuffled once, by ``_slice``.
+    Null and empty texts and those that clean to nothing are no documents.
     """
-    bounds = slice_bounds(documents, "doc_id", shuffle_width(documents.sparkSession) * SLICES_EACH)
     some = documents.select("doc_id", "text").where(F.col("text").rlike("[A-Za-z0-9]"))
-    placed = some.withColumn("segment_id", (F.pmod("doc_id", F.lit(segments)) + 1).cast("bigint"))
-    return number_documents(placed, bounds=bounds).select("_slice", "segment_id", "local_document_id", "text")
+    return some.withColumn("segment_id", (F.pmod("doc_id", F.lit(segments)) + 1).cast("bigint"))
+
+
+def table_corpus(documents: DataFrame, segments: int = 4) -> DataFrame:
+    """(_slice, segment_id, local_document_id, text) of ``placed_texts``; the texts are shuffled once, by ``_slice``."""
+    bounds = slice_bounds(documents, "doc_id", shuffle_width(documents.sparkSession) * SLICES_EACH)
+    return number_documents(placed_texts(documents, segments), bounds=bounds).select(
+        "_slice", "segment_id", "local_document_id", "text"
+    )
 
 
 def term_frequencies(corpus: DataFrame, tokens: Column) -> DataFrame:
@@ -130,12 +135,12 @@ def term_bytes() -> Column:
     return TERM_BYTES + varint_length(name) + name + varint_length(F.col("document_frequency")) + F.col("postings_bytes")
 
 
-def segment_stats(dictionary: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(segment_id, documents, term_count, segment_bytes) of every segment that has documents."""
+def segment_stats(dictionary: DataFrame, documents: DataFrame) -> DataFrame:
+    """(segment_id, documents, term_count, segment_bytes) of every segment that has rows in ``documents``."""
     terms = dictionary.groupBy("segment_id").agg(
         F.count(F.lit(1)).alias("term_count"), (F.sum(term_bytes()) + SEGMENT_BYTES).cast("bigint").alias("segment_bytes")
     )
-    documents = corpus.groupBy("segment_id").agg(F.count(F.lit(1)).alias("documents"))
+    documents = documents.groupBy("segment_id").agg(F.count(F.lit(1)).alias("documents"))
     return documents.join(terms, "segment_id", "left").select(
         "segment_id",
         "documents",

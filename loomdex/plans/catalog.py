@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codec import encoded_postings, decoded_postings, varint_hex, varint_value, with_deltas, with_documents
@@ -13,16 +14,19 @@ from ..operators.index import (
     dictionary_of,
     invariant_violations,
     manifest_totals,
+    placed_texts,
     posting_lists,
     postings_of,
     segment_stats,
     table_corpus,
     with_ordinals,
 )
-from ..runtime import cut, table
+from ..runtime import cut, shared_dir, table
 from ..sources.corpus import corpus_faults, lines_of_texts
+from ..sources.storage import IndexStorage
+from .build import publish_table_segment
 from .skew import dictionary_conflicts, posting_counts
-from .snapshot import batch_lookup, lookup_rows, lookup_stats
+from .snapshot import IndexSnapshot, batch_lookup, lookup_rows, lookup_stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,7 +58,7 @@ def _dictionary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stats(spark: SparkSession, d: str) -> DataFrame:
-    return segment_stats(_dictionary(spark, d), _corpus(spark, d))
+    return segment_stats(_dictionary(spark, d), placed_texts(table(spark, d, "documents")))
 
 
 def _lookup(term: str) -> Query:
@@ -63,7 +67,7 @@ def _lookup(term: str) -> Query:
 
 def _lookup_stats(spark: SparkSession, d: str) -> DataFrame:
     dictionary = cut(_dictionary(spark, d))
-    segments = segment_stats(dictionary, _corpus(spark, d))
+    segments = segment_stats(dictionary, placed_texts(table(spark, d, "documents")))
     return lookup_stats(dictionary, segments, list(TERMS.values()))
 
 
@@ -79,6 +83,24 @@ def _codec_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return decoded_postings(encoded_postings(_postings(spark, d))).where(F.col("error").isNull()).drop("error")
 
 
+def _stored_index(spark: SparkSession, d: str) -> IndexSnapshot:
+    """The documents as four published segments in a new index folder, opened again."""
+    storage = IndexStorage(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    snapshot, documents = IndexSnapshot(storage), table(spark, d, "documents")
+    for part in range(4):
+        publish_table_segment(storage, snapshot, documents.where(F.pmod("doc_id", F.lit(4)) == part))
+    return IndexSnapshot(IndexStorage(spark, storage.folder))
+
+
+def _stored_totals(spark: SparkSession, d: str) -> DataFrame:
+    snapshot = _stored_index(spark, d)
+    return manifest_totals(
+        snapshot.segments.select(
+            F.col("document_count").alias("documents"), F.col("length_bytes").alias("segment_bytes"), "term_count"
+        )
+    )
+
+
 def _batch(spark: SparkSession, d: str) -> DataFrame:
     terms = spark.createDataFrame([(t,) for t in TERMS.values()], "term string")
     return batch_lookup(_postings(spark, d), terms).groupBy("term").agg(F.count("segment_id").alias("matched"))
@@ -119,6 +141,8 @@ def queries() -> dict[str, Query]:
         ),
         "lookup_stats": _lookup_stats,
         "batch_lookup": _batch,
+        "stored_lookup": lambda spark, d: _stored_index(spark, d).query_term(TERMS["common"]),
+        "stored_totals": _stored_totals,
         "delta_roundtrip": _roundtrip,
         "codec_postings": lambda spark, d: encoded_postings(_postings(spark, d)).select(
             "segment_id", "term", "document_frequency", F.octet_length("encoded").cast("bigint").alias("bytes")
@@ -131,7 +155,7 @@ def queries() -> dict[str, Query]:
         .select("n", varint_hex(F.col("n")).alias("bytes"), varint_value(F.unhex(varint_hex(F.col("n")))).alias("again")),
         "crc32": lambda spark, d: table(spark, d, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc")),
         "invariants": lambda spark, d: invariant_violations(
-            _postings(spark, d), _corpus(spark, d).groupBy("segment_id").agg(F.count(F.lit(1)).alias("documents"))
+            _postings(spark, d), placed_texts(table(spark, d, "documents")).groupBy("segment_id").agg(F.count(F.lit(1)).alias("documents"))
         ),
         "top_terms": lambda spark, d: _postings(spark, d)
         .groupBy("term")
@@ -217,6 +241,9 @@ def oracle_sql() -> dict[str, str]:
         "published_totals": """select count(*) as segments, cast(sum(document_count) as bigint) as documents,
             cast(sum(length_bytes) as bigint) as bytes, cast(sum(term_count) as bigint) as term_entries from manifest_segments""",
         "lookup_stats": f"{base} " + " union all ".join(_lookup_stats_sql(t) for t in TERMS.values()),
+        "stored_lookup": f"{base} select segment_id, local_document_id, term_frequency from post where term = '{TERMS['common']}'",
+        "stored_totals": f"""{base} select count(*) as segments, cast(sum(documents) as bigint) as documents,
+            cast(sum(segment_bytes) as bigint) as bytes, cast(sum(term_count) as bigint) as term_entries from docs join seg using (segment_id)""",
         "batch_lookup": f"""{base}, w as (select unnest({list(TERMS.values())}) as term)
             select w.term, count(post.term) as matched from w left join post on post.term = w.term group by 1""",
         "delta_roundtrip": f"{base} select count(*) as total, cast(0 as bigint) as bad from post",

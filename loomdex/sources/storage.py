@@ -94,7 +94,7 @@ class IndexStorage:
         encode_manifest(self.files, self.manifest_path(generation), manifest)
         return generation
 
-    def write_segment(self, segment_id: int, postings: DataFrame, document_count: int, tokens_sorted: bool = False) -> SegmentMetadata:
+    def write_segment(self, segment_id: int, postings: DataFrame, document_count: int) -> SegmentMetadata:
         """Publish postings (segment_id, term, local_document_id, term_frequency) as one immutable segment.
 
         Postings lie in Parquet in the order of term and document, so a lookup reads the
@@ -105,14 +105,16 @@ class IndexStorage:
             raise StorageError("document count exceeds u32")
         path = self.segment_path(segment_id)
         with self.files.written_once(path, "segment") as temporary:
-            rows = postings.select(*POSTINGS.names)
-            if not tokens_sorted:
-                rows = rows.repartitionByRange("term", "local_document_id").sortWithinPartitions("term", "local_document_id")
-            rows.write.parquet(f"{temporary}/{POSTINGS_TABLE}")
+            rows = postings.select(*POSTINGS.names).repartitionByRange("term", "local_document_id")
+            rows.sortWithinPartitions("term", "local_document_id").write.parquet(f"{temporary}/{POSTINGS_TABLE}")
             stored = self.spark.read.schema(POSTINGS).parquet(f"{temporary}/{POSTINGS_TABLE}")
-            # Range partitioned once more: few rows, and files in the order of terms.
-            terms = with_ordinals(dictionary_of(stored)).select(*DICTIONARY.names)
-            terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{temporary}/{DICTIONARY_TABLE}")
+            # Ordinals read the terms several times, so these are written before they are numbered.
+            raw = f"{temporary}/terms"
+            dictionary_of(stored).write.parquet(raw)
+            # Numbering deals the terms out by ranges already.
+            terms = with_ordinals(self.spark.read.parquet(raw)).select(*DICTIONARY.names)
+            terms.sortWithinPartitions("term").write.parquet(f"{temporary}/{DICTIONARY_TABLE}")
+            self.files.delete(raw)
             metadata = self._measure(temporary, segment_id, document_count)
             self.files.write(f"{temporary}/{METADATA_FILE}", json.dumps(asdict(metadata)).encode())
         return metadata
