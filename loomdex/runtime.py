@@ -11,22 +11,31 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+#: Temporary folders of local applications, by application id.
+_LOCAL: dict[str, str] = {}
+
+
+def _configured(spark: SparkSession) -> str | None:
+    return spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor reaches, as named by ``spark.checkpoint.dir``.
 
-    A local master without that setting gets a fresh temporary folder (tests and
-    single-machine use); a cluster without it is refused, because a folder on one
+    Without that setting an application on a local master gets one temporary folder
+    (tests and single-machine use); on a cluster it is an error, because a folder on one
     machine would be lost with it.
     """
-    found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    found = _configured(spark)
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local["):
-        if spark.sparkContext.master != "local":
-            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-    made = "file://" + tempfile.mkdtemp(prefix="loomdex-")
-    spark.conf.set(CHECKPOINT_KEY, made)
-    return made
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
+    name = spark.sparkContext.applicationId
+    if name not in _LOCAL:
+        _LOCAL[name] = "file://" + tempfile.mkdtemp(prefix="loomdex-")
+    return _LOCAL[name]
 
 
 def cut(df: DataFrame) -> DataFrame:
