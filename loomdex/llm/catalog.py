@@ -14,7 +14,7 @@ from .encoding import decode_ids, encode_texts
 from .frequencies import marked_terms, useless_terms
 from .languages import identify_languages, language_model, mislabelled
 from .mixing import mix_report, mixed_documents, short_sources
-from .percentiles import METRICS, summary_percentiles, unfit_figures
+from .percentiles import summary_percentiles, unfit_figures
 from .topn import top_postings
 
 Query = Callable[[SparkSession, str], DataFrame]

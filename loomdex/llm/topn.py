@@ -39,7 +39,11 @@ def top_n(
     hot group is dealt out by score range and a salt among equal scores, each part keeps
     its own best ``n``, and these few are ranked again. Null groups are groups like any
     other; groups smaller than ``n`` come whole; an empty table gives an empty result.
+    The result has the groups, score, ties and place; other columns are dropped, whatever
+    their names.
     """
+    names = list(dict.fromkeys([*groups, score, *ties]))
+    rows = rows.select(*names)
     order = [F.col(score).desc_nulls_last(), *[F.col(t).asc_nulls_first() for t in ties]]
     hot = heavy_keys((rows if counted is None else counted).select(*groups), groups, share, least)
     # At most `share` rows, whatever the size of the data.
@@ -59,7 +63,7 @@ def top_n(
     )
     parts = _ranked(salted, [*groups, "_range", "_salt"], order, n)
     heavy = _ranked(parts.drop("place"), groups, order, n)
-    return light.drop("_hot").unionByName(heavy.drop("_hot", "_range", "_salt"))
+    return light.select(*names, "place").unionByName(heavy.select(*names, "place"))
 
 
 def top_postings(postings: DataFrame, n: int = 3) -> DataFrame:

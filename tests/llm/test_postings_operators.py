@@ -164,7 +164,7 @@ def test_top_items(spark, data, share, least):
     for g, x, i, _ in items:
         groups[g].append((x is None, -(x or 0), i))
     wanted = [(g, p + 1, i) for g, some in groups.items() for p, (_, _, i) in enumerate(sorted(some)[:4])]
-    df = spark.createDataFrame(items, "g string, x double, i bigint, place_ int")
+    df = spark.createDataFrame([(*t, 1, 2, 3) for t in items], "g string, x double, i bigint, place int, _salt int, _range int, _hot int")
     assert rows(top_n(df, ["g"], "x", ["i"], 4, share=share, least=least), "g", "place", "i") == sorted(wanted, key=repr)
     assert top_n(df.limit(0), ["g"], "x", ["i"], 4).count() == 0
 
