@@ -23,9 +23,9 @@ TOKENIZER_DIR = os.environ.get("LOOMDEX_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the published pattern that splits text before byte-level merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: States kept at most; the walk starts over with an empty table beyond it.
-STATES_KEPT = 400_000
+STATES_KEPT = 250_000
 #: Pieces of text whose tokens are remembered, and the longest such piece.
-PIECES_KEPT, PIECE_LENGTH = 400_000, 48
+PIECES_KEPT, PIECE_LENGTH = 300_000, 48
 
 Path = tuple[tuple[int, ...], int]
 
@@ -88,7 +88,7 @@ class Vocabulary:
                 return spine
             token, until = self.parts[token][side], born
 
-    @lru_cache(maxsize=1_000_000)  # noqa: B019
+    @lru_cache(maxsize=500_000)  # noqa: B019
     def neighbours(self, left: int, right: int) -> bool:
         """Whether the bytes of both tokens together are encoded as just these tokens.
 

@@ -68,8 +68,11 @@ def _count(batches: Iterator[pa.RecordBatch], file: str) -> Iterator[pa.RecordBa
 
 
 def count_tokens(documents: DataFrame, file: str = BYTE_BPE) -> DataFrame:
-    """The columns of ``documents`` with ``text`` replaced by ``tokens``, its number of ids (0 for null)."""
-    rest = [f for f in documents.schema.fields if f.name != "text"]
+    """The columns of ``documents`` with ``text`` replaced by ``tokens``, its number of ids (0 for null).
+
+    A column that is already named ``tokens`` is dropped.
+    """
+    rest = [f for f in documents.schema.fields if f.name not in ("text", "tokens")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
     ordered = documents.select(*[F.col(f.name) for f in rest], "text")
     return ordered.mapInArrow(partial(_count, file=file), f"{schema}, tokens bigint")

@@ -8,6 +8,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from loomdex.llm import bpe, encoding
 from loomdex.llm.encoding import BYTE_BPE, count_tokens, decode_ids, encode_texts
 from loomdex.llm.mixing import mix_report, mixed_documents, short_sources
@@ -78,7 +80,7 @@ def test_rows(spark, library):
     assert rows(encode_texts(df)) == wanted
     assert encode_texts(df).dtypes == [("doc_id", "bigint"), ("ids", "array<int>")]
     assert rows(decode_ids(encode_texts(df))) == sorted(((i, t or "") for i, t, _ in data), key=repr)
-    assert rows(count_tokens(df.select("doc_id", "text"))) == sorted(((i, len(ids)) for i, ids in wanted), key=repr)
+    assert rows(count_tokens(df.select("doc_id", "text", F.lit("x").alias("tokens")))) == sorted(((i, len(ids)) for i, ids in wanted), key=repr)
     assert encode_texts(df.limit(0)).count() == 0
 
 
