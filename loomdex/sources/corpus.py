@@ -12,8 +12,8 @@ from ..functions.text import clean_text, is_term, tokens
 from .files import Files
 
 BOM = b"\xef\xbb\xbf"
-#: Most blocks whose table is broadcast, and the least bytes that a session is taken to read as one block.
-BROADCAST_BLOCKS, BLOCK_BYTES = 100_000, 1 << 22
+#: Most file blocks whose table is broadcast.
+BROADCAST_BLOCKS = 100_000
 
 
 class CorpusError(ValueError):
@@ -33,6 +33,13 @@ def input_bytes(spark: SparkSession, path: str) -> int:
         raise CorpusError(f"failed to read document file metadata: {path} not found") from e
 
 
+def _most_blocks(spark: SparkSession, sizes: Sequence[int]) -> int:
+    """A bound on the blocks that files of these sizes are read in, by the session's settings."""
+    in_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    least = min(in_bytes(spark.conf.get(f"spark.sql.files.{s}")) for s in ("maxPartitionBytes", "openCostInBytes"))
+    return sum(size // max(1, least) + 1 for size in sizes)
+
+
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(line_no BIGINT, value STRING) of text files, line_no counting from 0 through the files in the given order.
 
@@ -41,9 +48,9 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     lines are counted where they are read, and a small table of block starts is added,
     so the text itself is never shuffled or sorted. An empty file has no lines.
     """
-    files = Files(spark)
+    files, paths = Files(spark), [paths] if isinstance(paths, str) else list(paths)
     parts = []
-    for ordinal, path in enumerate([paths] if isinstance(paths, str) else paths):
+    for ordinal, path in enumerate(paths):
         if not files.exists(path):
             raise CorpusError(f"failed to open document file: {path} not found")
         marked = files.read(path, 3) == BOM
@@ -58,8 +65,7 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     blocks = lines.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_lines"))
     earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select("_file", "_block", (F.coalesce(F.sum("_lines").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
-    total = sum(files.size(p) for p in ([paths] if isinstance(paths, str) else paths))
-    few = total <= BROADCAST_BLOCKS * BLOCK_BYTES
+    few = _most_blocks(spark, [files.size(p) for p in paths]) <= BROADCAST_BLOCKS
     numbered = lines.join(F.broadcast(starts) if few else starts, ["_file", "_block"])
     first = (F.col("_block") == 0) & F.col("_marked") & (F.col("_id") + F.col("_shift") == 0)
     return numbered.select(

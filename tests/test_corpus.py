@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomdex.functions.text import check_query_term, clean_text, tokens
+from loomdex.sources import corpus
 from loomdex.sources.corpus import CorpusError, clean_corpus, check_lines, corpus_faults, lines_of_texts, read_lines, validate_corpus
 from tests.conftest import rows
 
@@ -30,6 +31,18 @@ def test_lines_are_numbered_over_blocks_and_files(spark, tmp_path):
     assert found == dict(enumerate(["first", "second", *(f"line{i}" for i in range(20_000)), "first", "second"]))
 
 
+def test_many_blocks_are_joined_the_other_way(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus, "BROADCAST_BLOCKS", 0)
+    path = write(tmp_path, "a", "".join(f"line{i}\n" for i in range(5_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5k")
+    try:
+        assert corpus._most_blocks(spark, [100_000, 1]) == 21
+        found = {r["line_no"]: r["value"] for r in read_lines(spark, path).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == {i: f"line{i}" for i in range(5_000)}
+
+
 def test_pattern_signs_in_names_are_literal(spark, tmp_path):
     path = write(tmp_path, "a[1]{b}.txt", "x\n")
     assert rows(read_lines(spark, path)) == [(0, "x")]
