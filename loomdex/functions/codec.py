@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import ship
 from ..schemas import U32_MAX
 
 
@@ -151,5 +152,6 @@ def decoded_postings(encoded: DataFrame) -> DataFrame:
                     rows.append((segment, term, None, None, e.kind))
             yield pd.DataFrame(rows, columns=["segment_id", "term", "local_document_id", "term_frequency", "error"])
 
+    ship(encoded.sparkSession)
     schema = "segment_id bigint, term string, local_document_id bigint, term_frequency bigint, error string"
     return encoded.select("segment_id", "term", "document_frequency", "encoded").mapInPandas(decode, schema)

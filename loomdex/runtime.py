@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +48,28 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Applications whose executors have been given the package.
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once for each application.
+
+    Spark serves the archive from the driver, so it need not be installed or on a path
+    there. Every operator that runs Python calls this.
+    """
+    name = spark.sparkContext.applicationId
+    if name in _SHIPPED:
+        return
+    package = pathlib.Path(__file__).parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="loomdex-ship-"), "loomdex.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

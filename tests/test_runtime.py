@@ -1,5 +1,10 @@
 """Session helpers, and shapes of plans that matter at scale."""
 
+import os
+import pathlib
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +43,23 @@ def test_a_cluster_without_the_setting_is_refused(monkeypatch):
         shared_dir(type("Session", (), {"sparkContext": context}))
 
 
+def test_workers_get_the_package_wherever_they_run(tmp_path):
+    """A session of its own, started elsewhere, without the repository on its path."""
+    root = pathlib.Path(__file__).parent.parent
+    code = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+from loomdex.functions.codec import decoded_postings
+df = spark.createDataFrame([(1, "a", 1, bytearray(b"\\x00\\x01"))], "segment_id bigint, term string, document_frequency bigint, encoded binary")
+assert decoded_postings(df).count() == 1 and decoded_postings(df).first()["term_frequency"] == 1
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_only_scans_that_leave_cores_idle_are_dealt_out(spark):
     documents = table(spark, SF_DIR, "documents")
     assert "RoundRobinPartitioning" in plan(spread(documents))
