@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.postings import counting_rows
-from ..runtime import cut, shuffle_width
+from ..runtime import cut, ship, shuffle_width
 from .frequencies import document_count
 
 #: Log-likelihood ratio of a chance of one in a thousand (chi-squared, one degree of freedom).
@@ -151,6 +151,7 @@ def cooccurring(
         .agg(F.sort_array(F.collect_list("number")).alias("items"))
         .select("items")
     )
+    ship(spark)
     stripes = records.mapInArrow(_stripes, _STRIPES).repartition(width, "item")
     counts = (
         stripes.select("item", F.explode(F.arrays_zip("neighbours", "counts")).alias("at"))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ship
 from .bpe import decode, encoder
 
 #: Vocabulary file of the byte-level tokenizer with some 50,000 tokens.
@@ -42,6 +43,7 @@ def encode_texts(documents: DataFrame, key: str = "doc_id", text: str = "text",
     encoded where they are read; nothing is shuffled. Whole texts are encoded, of any
     length.
     """
+    ship(documents.sparkSession)
     kind = documents.schema[key].dataType.simpleString()
     return documents.select(key, text).mapInArrow(partial(_encode, file=file), f"`{key}` {kind}, ids array<int>")
 
@@ -54,6 +56,7 @@ def _decode(batches: Iterator[pa.RecordBatch], file: str) -> Iterator[pa.RecordB
 
 def decode_ids(encoded: DataFrame, key: str = "doc_id", file: str = BYTE_BPE) -> DataFrame:
     """(key, text) of encoded rows; null and empty arrays give an empty text."""
+    ship(encoded.sparkSession)
     kind = encoded.schema[key].dataType.simpleString()
     return encoded.select(key, "ids").mapInArrow(partial(_decode, file=file), f"`{key}` {kind}, text string")
 
@@ -72,6 +75,7 @@ def count_tokens(documents: DataFrame, file: str = BYTE_BPE) -> DataFrame:
 
     A column that is already named ``tokens`` is dropped.
     """
+    ship(documents.sparkSession)
     rest = [f for f in documents.schema.fields if f.name not in ("text", "tokens")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
     ordered = documents.select(*[F.col(f.name) for f in rest], "text")

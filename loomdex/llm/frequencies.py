@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators.postings import counting_postings, counting_rows
 from ..operators.salted import HEAVY_ROWS, HEAVY_SHARE, SALTS_MAX, heavy_keys
-from ..runtime import shuffle_width
+from ..runtime import ship, shuffle_width
 
 #: Identifiers in a block of count arrays.
 BLOCK = 4_096
@@ -115,6 +115,7 @@ def count_blocks(postings: DataFrame, per_salt: int = HEAVY_ROWS) -> DataFrame:
         .agg(F.sum("term_frequency").alias("occurrences"), F.first("heavy").alias("heavy"))
     )
     sorted_rows = records.select("term", "heavy", "occurrences", F.spark_partition_id().alias("part")).sortWithinPartitions("term")
+    ship(postings.sparkSession)
     return sorted_rows.mapInArrow(_block_counts, _BLOCKS)
 
 

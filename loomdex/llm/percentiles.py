@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.slices import deal, slice_bounds, slice_of, with_offsets
-from ..runtime import cut, shuffle_width
+from ..runtime import cut, ship, shuffle_width
 
 #: Slices for each partition; more than one, as no two are of quite the same size.
 SLICES_EACH = 2
@@ -130,6 +130,7 @@ def _pick(rows: DataFrame, ranks: Sequence[Rank]) -> DataFrame:
     ordered = rows.select("_slice", "gids", "metric", "value", "n", "_whole").sortWithinPartitions(
         "_slice", F.col("value").asc_nulls_first()
     )
+    ship(rows.sparkSession)
     found = ordered.mapInArrow(partial(_slices, ranks=list(ranks)), "gid bigint, metric int, rank int, value double, size bigint")
     # Equal values may lie in several slices, so a rank can only ever be reached in one.
     return found.groupBy("gid", "metric").agg(
