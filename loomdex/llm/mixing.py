@@ -65,18 +65,23 @@ def source_queues(documents: DataFrame, targets: DataFrame, file: str = BYTE_BPE
 def budgets(queues: DataFrame, targets: DataFrame) -> DataFrame:
     """Targets with the ``size`` of each source, and of its mix the ``budget`` and the virtual time ``until``.
 
-    The budget is the sum of the sizes of the mix's sources with a share above 0. Until
-    is the virtual time at which the queues together have given as many tokens: the
-    budget itself if no source falls short, later if others fill in, and the end of the
-    last queue if there aren't enough tokens. One row for each target.
+    The budget is the sum of the sizes of the mix's sources with a share above 0. No
+    document that finishes after ``until`` is within it: until is the virtual time at
+    which the queues together have given the budget and the longest document of each
+    source, as each may have one that is unfinished and counts nothing yet. It is the
+    end of the last queue if there aren't enough tokens. One row for each target.
     """
-    sizes = queues.groupBy("_source").agg(F.max("upto").alias("size"))
-    known = targets.join(sizes, "_source", "left").withColumn("size", F.coalesce("size", F.lit(0)))
+    sizes = queues.groupBy("_source").agg(F.max("upto").alias("size"), F.max("tokens").alias("_longest"))
+    known = targets.join(sizes, "_source", "left").withColumns(
+        {"size": F.coalesce("size", F.lit(0)), "_longest": F.coalesce("_longest", F.lit(0))}
+    )
     live = F.col("target_share") > 0
     total = F.coalesce(F.sum(F.when(live, F.col("size"))), F.lit(0))
+    most = total + F.coalesce(F.sum(F.when(live, F.col("_longest"))), F.lit(0))
     ends = F.when(live, F.col("max_repeats") * F.col("size") / F.col("target_share"))
     per_mix = known.groupBy("mix_name").agg(
         total.alias("budget"),
+        most.alias("_most"),
         F.array_sort(F.collect_list(F.when(live, F.struct(ends.alias("end"), F.col("target_share").alias("share"))))).alias("ends"),
     )
     # Tokens given at time t: the full content of queues that ended by t and share * t of the others.
@@ -84,15 +89,15 @@ def budgets(queues: DataFrame, targets: DataFrame) -> DataFrame:
         "ends", F.lit(0.0), lambda s, x: s + x["share"] * F.least(x["end"], t)
     )
     # Between two ends the amount grows linearly: find the first end at which it is enough.
-    enough = F.filter("ends", lambda x: given(x["end"]) >= F.col("budget"))
+    enough = F.filter("ends", lambda x: given(x["end"]) >= F.col("_most"))
     at = F.get(enough, F.lit(0))["end"]
     open_share = F.aggregate(
         "ends", F.lit(0.0), lambda s, x: s + F.when(x["end"] >= at, x["share"]).otherwise(F.lit(0.0))
     )
-    over = given(at) - F.col("budget")
+    over = given(at) - F.col("_most")
     last = F.coalesce(F.array_max(F.transform("ends", lambda x: x["end"])), F.lit(0.0))
     until = F.when(at.isNull(), last).otherwise(at - over / open_share)
-    return known.join(per_mix.select("mix_name", "budget", until.alias("until")), "mix_name")
+    return known.drop("_longest").join(per_mix.select("mix_name", "budget", until.alias("until")), "mix_name")
 
 
 def mix(queues: DataFrame, budget: DataFrame) -> DataFrame:
@@ -108,15 +113,13 @@ def mix(queues: DataFrame, budget: DataFrame) -> DataFrame:
     side = F.broadcast(budget) if budget.count() <= BROADCAST_TARGETS else budget
     live = side.where((F.col("target_share") > 0) & (F.col("max_repeats") > 0))
     joined = queues.join(live, "_source")
-    # No repetition that only begins after the mix is full is ever made.
+    # No repetition that only begins after the last time a document can fit is ever made.
     turns = F.ceil(F.col("target_share") * F.col("until") / F.greatest("size", F.lit(1))) + 1
     rounds = F.greatest(F.least(turns, F.col("max_repeats").cast("bigint")), F.lit(1))
     each = joined.withColumn("repeat", F.explode(F.sequence(F.lit(0), (rounds - 1).cast("int"))))
     finish = (F.col("repeat") * F.col("size") + F.col("upto")) / F.col("target_share")
-    # A document that ends later than one more document of the longest kind can't fit any more.
-    timed = each.withColumn("finish", finish).where(
-        F.col("finish") - F.col("tokens") / F.col("target_share") <= F.col("until") * (1 + 1e-9) + 1
-    )
+    # This only spares work: what it drops is beyond the budget anyway. The running total alone cuts.
+    timed = each.withColumn("finish", finish).where(F.col("finish") <= F.col("until") * (1 + 1e-9) + 1)
     slices = width * SLICES_EACH
     # Virtual time passes evenly with tokens, so even bounds make even slices.
     part = F.least(F.floor(F.col("finish") / F.greatest(F.col("until"), F.lit(1.0)) * slices), F.lit(slices)).cast("int")

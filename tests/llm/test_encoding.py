@@ -1,5 +1,6 @@
 """The transducer against a public library, decoding, and mixing against plain Python."""
 
+import itertools
 import random
 from collections import defaultdict
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomdex.llm import bpe, encoding
 from loomdex.llm.encoding import BYTE_BPE, count_tokens, decode_ids, encode_texts
-from loomdex.llm.mixing import mix_report, mixed_documents, short_sources
+from loomdex.llm.mixing import _targets, budgets, mix, mix_report, mixed_documents, short_sources
 from tests.conftest import SF_DIR, rows
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -145,6 +146,32 @@ def test_all_targets_are_met_without_a_short_source(spark):
         assert abs(r["share"] - r["target_share"]) < 0.02
 
 
+def test_documents_fit_beside_a_long_unfinished_one(spark):
+    """A mix is the longest ordered prefix within the budget, however long its documents are."""
+    rnd = random.Random(4)
+    queues = {"a": [100] * 2_000, "b": [100] * 500 + [150_000]}
+    queues |= {f"s{i}": [rnd.choice([0, 1, 5, rnd.randrange(1, 3_000)]) for _ in range(rnd.randrange(1, 30))] for i in range(12)}
+    goals = [("m", "a", 0.3, 3), ("m", "b", 0.7, 3)]
+    for k in range(20):
+        names, shares = rnd.sample([f"s{i}" for i in range(12)], 3), [rnd.random() for _ in range(3)]
+        goals += [(f"m{k}", n, w / sum(shares), rnd.randrange(1, 9)) for n, w in zip(names, shares, strict=True)]
+    data = [(s, i, i, t, sum(q[: i + 1])) for s, q in queues.items() for i, t in enumerate(q)]
+    df = spark.createDataFrame(data, "_source string, doc_id bigint, copy bigint, tokens bigint, upto bigint")
+    targets = _targets(spark.createDataFrame(goals, TARGETS))
+    wanted = []
+    for m in {g[0] for g in goals}:
+        own = [g for g in goals if g[0] == m]
+        size = {s: sum(queues[s]) for _, s, _, _ in own}
+        every = sorted(
+            ((r * size[s] + upto) / share, s, r, i, t) for _, s, share, most in own for r in range(most) for name, i, _, t, upto in data if name == s
+        )
+        totals = itertools.accumulate(row[4] for row in every)
+        wanted += [(m, s, i, r) for (_, s, r, i, _), total in zip(every, totals, strict=True) if total <= sum(size.values())]
+    found = mix(df, budgets(df, targets)).cache()
+    assert rows(found, "mix_name", "source", "doc_id", "repeat") == sorted(wanted, key=repr)
+    assert found.where("mix_name = 'm'").agg(F.sum("tokens")).first()[0] == 400_000
+
+
 def test_empty_tables(spark):
     _, df = documents(spark)
     goals = spark.createDataFrame(GOALS, TARGETS)
