@@ -1,12 +1,13 @@
 """Frequency of every distinct term: a global integer dictionary and blockwise count arrays.
 
 Terms are dealt to the partitions of one shuffle, a heavy term to several of them. The
-partition that owns a light term numbers it, so encoding needs no join with a
-dictionary as large as the vocabulary: an identifier is (part, number), where light
-terms of a part are numbered in byte order. Heavy terms, of which there are at most
-``HEAVY_SHARE``, are numbered beforehand in part -1 and known everywhere. Each
-partition adds its rows to count arrays of ``BLOCK`` consecutive identifiers, one for
-occurrences and one for record presence; arrays of the same block are then summed.
+partition that owns a light term numbers it while counting, so its rows are never
+encoded and no join with a dictionary as large as the vocabulary is needed: an
+identifier is (part, number), where light terms of a part are numbered in byte order.
+Heavy terms, of which there are at most ``HEAVY_SHARE``, are numbered beforehand in part
+-1 and known everywhere. Each partition adds its rows to count arrays of ``BLOCK``
+consecutive identifiers, one for occurrences and one for record presence; the arrays are
+then exploded and summed by identifier, which only heavy terms need.
 """
 
 from __future__ import annotations
