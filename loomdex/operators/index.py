@@ -12,7 +12,7 @@ from ..functions.codec import varint_length
 from ..functions.text import words
 from ..runtime import shuffle_width
 from .salted import heavy_keys
-from .slices import running_total, slice_bounds, slice_of
+from .slices import running_total, slice_bounds, with_slice
 
 #: Bytes of a segment without terms, and of each term besides its name, counts and postings.
 SEGMENT_BYTES, TERM_BYTES = 30, 24
@@ -32,7 +32,7 @@ def number_documents(documents: DataFrame, key: str = "doc_id", segment: str = "
     width = shuffle_width(documents.sparkSession)
     if bounds is None:
         bounds = slice_bounds(documents, key, width * SLICES_EACH)
-    sliced = documents.withColumns({"_slice": F.coalesce(slice_of(F.col(key), bounds), F.lit(0)), "_one": F.lit(1)})
+    sliced = with_slice(documents, F.col(key), bounds).withColumn("_one", F.lit(1))
     counted = running_total(sliced, [segment], [key], "_one", "_n", width)
     return counted.withColumn("local_document_id", (F.col("_n") - 1).cast("bigint")).drop("_one", "_n")
 
@@ -124,7 +124,7 @@ def with_ordinals(dictionary: DataFrame) -> DataFrame:
     width = shuffle_width(dictionary.sparkSession)
     numbered = dictionary.withColumn("_number", term_number(F.col("term")))
     bounds = slice_bounds(numbered, "_number", width * SLICES_EACH)
-    sliced = numbered.withColumns({"_slice": slice_of(F.col("_number"), bounds), "_one": F.lit(1)})
+    sliced = with_slice(numbered, F.col("_number"), bounds).withColumn("_one", F.lit(1))
     ranked = running_total(sliced, ["segment_id"], ["term"], "_one", "_n", width)
     return ranked.withColumn("term_ordinal", (F.col("_n") - 1).cast("bigint")).drop("_slice", "_one", "_n", "_number")
 

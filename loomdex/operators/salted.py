@@ -53,7 +53,7 @@ def add_salt(rows: DataFrame, keys: Sequence[str], spread: Sequence[str], heavy:
     return joined.withColumn("_salt", salt).drop("_salts")
 
 
-def salted_counts(
+def salted_partials(
     rows: DataFrame,
     keys: Sequence[str],
     distinct: str,
@@ -61,19 +61,31 @@ def salted_counts(
     share: int = HEAVY_SHARE,
     least: int = HEAVY_ROWS,
 ) -> DataFrame:
-    """Rows and distinct non-null values of ``distinct`` for every key: ``n_rows``, ``n_distinct``.
+    """Stage 1: rows ``n_rows`` and distinct non-null values ``n_distinct`` for every key and ``_salt``.
 
-    Stage 1 salts heavy keys by a hash of ``distinct`` and computes partial results per
-    (key, salt); stage 2 merges the partials by key. Repeated rows are combined before
-    the shuffle, which is keyed by key, salt and value. Null keys form groups of their
-    own; an empty table gives an empty result; other columns are ignored, also ones
-    that bear this function's output names.
+    Repeated rows are combined before they are shuffled, by key, salt and value, so that
+    even a value repeated without end is one row. Equal values share a salt, so counts add up.
     """
     kept = rows.select(*keys, F.col(distinct).alias("_value"))
     heavy = heavy_keys(kept, keys, share, least)
     salted = add_salt(kept, keys, ["_value"], heavy, per_salt)
-    values = salted.groupBy(*keys, "_salt", "_value").agg(F.count(F.lit(1)).alias("_n"))
-    partial = values.groupBy(*keys, "_salt").agg(
-        F.sum("_n").alias("_n"), F.count("_value").alias("_d")
-    )
-    return partial.groupBy(*keys).agg(F.sum("_n").alias("n_rows"), F.sum("_d").alias("n_distinct"))
+    return salted.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("_value").alias("n_distinct"))
+
+
+def salted_counts(
+    rows: DataFrame,
+    keys: Sequence[str],
+    distinct: str,
+    per_salt: int = HEAVY_ROWS,
+    share: int = HEAVY_SHARE,
+    least: int = HEAVY_ROWS,
+) -> DataFrame:
+    """Rows and distinct non-null values of ``distinct`` for every key: ``n_rows``, ``n_distinct``.
+
+    Stage 1 salts heavy keys by a hash of ``distinct`` and computes partial results per
+    (key, salt), see ``salted_partials``; stage 2 merges the partials by key. Null keys
+    form groups of their own; an empty table gives an empty result; other columns are
+    ignored, also ones that bear this function's output names.
+    """
+    partial = salted_partials(rows, keys, distinct, per_salt, share, least)
+    return partial.groupBy(*keys).agg(F.sum("n_rows").alias("n_rows"), F.sum("n_distinct").alias("n_distinct"))

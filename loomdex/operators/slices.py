@@ -8,23 +8,69 @@ places a row alike, and a value that fills several slices is dealt out among the
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
+from itertools import accumulate
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def slice_bounds(rows: DataFrame, value: str, slices: int, accuracy: int = 1_000) -> list[float]:
+#: Entries of the quantile sketch for each slice, so that no slice is off by more than a twentieth.
+SKETCH_EACH = 20
+
+
+def _array(values: Sequence[float]) -> str:
+    """An array of numbers as SQL text, which is made at once however long it is."""
+    return f"array({','.join(map(repr, values))})"
+
+
+def quantiles_of(value: str, slices: int) -> Column:
+    """Aggregate: the ``slices - 1`` bounds that split the rows by ``value`` about evenly; null without a value."""
+    wanted = [i / slices for i in range(1, slices)] or [0.5]
+    return F.expr(f"percentile_approx({value}, {_array(wanted)}, {max(1_000, SKETCH_EACH * slices)})")
+
+
+def slice_bounds(rows: DataFrame, value: str, slices: int) -> list[float]:
     """``slices - 1`` ascending bounds that split ``rows`` by ``value`` about evenly.
 
-    A mergeable sketch over all rows; only the bounds reach the driver. Nulls are
-    ignored; without any value there are no bounds, so all rows form one slice.
+    A mergeable sketch over all rows, as much finer as there are more slices; only the
+    bounds reach the driver. Nulls are ignored; without any value there are no bounds, so
+    all rows form one slice.
     """
     if slices < 2:
         return []
-    wanted = [i / slices for i in range(1, slices)]
-    found = rows.agg(F.percentile_approx(value, wanted, accuracy).alias("b")).first()["b"]
-    return list(found or [])
+    return list(rows.agg(quantiles_of(value, slices).alias("b")).first()["b"] or [])
+
+
+def with_slice(rows: DataFrame, value: Column, bounds: Sequence[float], spread: Sequence[str] = (), name: str = "_slice") -> DataFrame:
+    """Add the slice number of ``value``; slices are ordered as their values, nulls lie in slice 0.
+
+    A slice is the number of bounds that are at most the value, found by a binary search
+    in one array, whatever their number. Values equal to a repeated bound may lie in any
+    slice between its copies: they are dealt out by a hash of ``spread``, the rest of the
+    row's identity. So within one slice order, equal values may span several slices,
+    never unequal ones.
+    """
+    copies = Counter(float(b) for b in bounds)
+    if not copies:
+        return rows.withColumn(name, F.lit(0))
+    distinct = sorted(copies)
+    splits = [float("-inf"), *distinct, float("inf")]
+    search = Bucketizer(splits=splits, inputCol="_value_", outputCol="_at_", handleInvalid="keep")
+    found = search.transform(rows.withColumn("_value_", value.cast("double")))
+    at = F.when(F.col("_value_").isNull(), F.lit(0)).otherwise(F.least(F.col("_at_").cast("int"), F.lit(len(distinct))))
+    if len(copies) == len(bounds):
+        return found.withColumn(name, at).drop("_value_", "_at_")
+    upto = list(accumulate((copies[b] for b in distinct), initial=0))
+    high = F.expr(f"{_array(upto)}")
+    # A value in the place of a repeated bound may go to as many slices as it has copies.
+    repeated = F.expr(_array([0] + [copies[b] if copies[b] > 1 else 0 for b in distinct]))
+    bound = F.expr(_array([0.0, *distinct]))
+    places = F.when(F.col("_value_") == F.get(bound, at), F.get(repeated, at)).otherwise(F.lit(0))
+    back = F.pmod(F.xxhash64(*spread), (places + 1).cast("bigint")).cast("int") if spread else F.lit(0)
+    return found.withColumn(name, (F.get(high, at) - back).cast("int")).drop("_value_", "_at_")
 
 
 def count_below(value: Column, bounds: Sequence[float], inclusive: bool) -> Column:

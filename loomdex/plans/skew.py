@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.postings import counting_rows
-from ..operators.salted import salted_counts
+from ..operators.salted import salted_counts, salted_partials
 
 KEYS = ("segment_id", "term")
 
@@ -27,10 +27,11 @@ def dictionary_conflicts(postings: DataFrame, dictionary: DataFrame) -> DataFram
     A record disagrees if its document_frequency is null or not the number of counting
     postings (0 without any); so does a key with postings but no record. If one of
     several records of a key disagrees, the key is a case. Null keys are compared like
-    other keys. Both sides are combined by key in one shuffle instead of a join.
+    other keys. The partial counts of stage 1 and the records are merged by key together,
+    in one shuffle instead of a merge and a join.
     """
-    counted = posting_counts(postings).select(
-        *KEYS, "postings", *[F.lit(None).cast("bigint").alias(c) for c in ("_low", "_high", "_nulls", "_records")]
+    counted = salted_partials(counting_rows(postings), KEYS, distinct="document_id").select(
+        *KEYS, F.col("n_distinct").alias("postings"), *[F.lit(None).cast("bigint").alias(c) for c in ("_low", "_high", "_nulls", "_records")]
     )
     records = dictionary.groupBy(*KEYS).agg(
         F.lit(None).cast("bigint").alias("postings"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomdex import runtime
 from loomdex.operators.postings import counting_postings
-from loomdex.operators.slices import running_total, slice_of
+from loomdex.operators.slices import running_total, with_slice
 from loomdex.plans.skew import dictionary_conflicts
 from loomdex.runtime import CHECKPOINT_KEY, cut, shared_dir, shuffle_width, spread, table
 from tests.conftest import SF_DIR, rows
@@ -83,7 +83,7 @@ def test_conflicts_join_nothing_but_the_few_heavy_keys(spark):
 
 
 def test_running_totals_move_rows_once(spark):
-    df = spark.range(1000).select((F.col("id") % 3).alias("g"), "id", F.lit(1).alias("n"), slice_of(F.col("id"), [250, 500, 750]).alias("_slice"))
+    df = with_slice(spark.range(1000).select((F.col("id") % 3).alias("g"), "id", F.lit(1).alias("n")), F.col("id"), [250, 500, 750])
     text = plan(running_total(df, ["g"], ["id"], "n", "t", 4))
     assert text.count("shufflepartitionidpassthrough") == 1
     # The other shuffles carry one row per group and slice.

@@ -6,8 +6,8 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from loomdex.operators.salted import heavy_keys, salted_counts
-from loomdex.operators.slices import count_below, running_total, slice_bounds, slice_of
+from loomdex.operators.salted import heavy_keys, salted_counts, salted_partials
+from loomdex.operators.slices import running_total, slice_bounds, with_slice
 from loomdex.plans.skew import dictionary_conflicts, posting_counts
 from tests.conftest import rows
 
@@ -71,11 +71,41 @@ def test_slices_keep_the_order(spark, spread):
     df = spark.createDataFrame(data, "i bigint, x double")
     bounds = slice_bounds(df, "x", 16)
     assert bounds == sorted(bounds) and len(bounds) == 15
-    seen = sorted((r["s"], r["x"]) for r in df.select("x", slice_of(F.col("x"), bounds, spread).alias("s")).collect())
+    seen = sorted((r["s"], r["x"]) for r in with_slice(df, F.col("x"), bounds, spread, "s").collect())
     assert [x for _, x in seen] == sorted(x for _, x in seen)
     assert max(sum(s == k for s, _ in seen) for k in range(16)) < (1000 if spread else 3001)
-    plain = df.select("x", count_below(F.col("x"), bounds, False).alias("b"), count_below(F.col("x"), bounds, True).alias("a")).collect()
-    assert all(r["b"] == sum(b < r["x"] for b in bounds) and r["a"] == sum(b <= r["x"] for b in bounds) for r in plain)
+    alone = sorted(set(bounds))
+    plain = with_slice(df, F.col("x"), alone, (), "a").collect()
+    assert all(r["a"] == sum(b <= r["x"] for b in alone) for r in plain)
+
+
+def test_nulls_and_nan_have_a_slice(spark):
+    df = spark.createDataFrame([(None,), (float("nan"),), (1.0,), (7.0,)], "x double")
+    assert {repr(r["x"]): r["_slice"] for r in with_slice(df, F.col("x"), [2.0, 5.0]).collect()} == {"None": 0, "nan": 2, "1.0": 0, "7.0": 2}
+    assert {r["_slice"] for r in with_slice(df, F.col("x"), []).collect()} == {0}
+
+
+def test_slices_at_the_width_of_a_large_shuffle(spark):
+    """10,000 bounds are all distinct, make even slices and don't outgrow generated code."""
+    df = spark.range(200_000).select((F.hash("id") / 7.0).alias("x"), "id")
+    bounds = slice_bounds(df, "x", 10_000)
+    assert len(set(bounds)) == 9_999
+    sliced = with_slice(df, F.col("x"), bounds)
+    assert sliced.groupBy("_slice").count().agg(F.max("count")).first()[0] < 80
+    generated = sliced._jdf.queryExecution().debug().codegenToSeq().toString()
+    assert len(generated) < 60_000
+    repeated = with_slice(df, F.round("x", -7), slice_bounds(df.withColumn("x", F.round("x", -7)), "x", 10_000), ["id"])
+    assert repeated.groupBy("_slice").count().agg(F.max("count")).first()[0] < 200
+
+
+def test_stage_one_counts_by_key_and_salt(spark):
+    """Repeated rows meet by key, salt and value; what is counted then moves by key and salt, never by key alone."""
+    df = spark.createDataFrame(skewed(), SCHEMA)
+    plan = salted_partials(df, ["k"], "v")._jdf.queryExecution().executedPlan().toString()
+    wide = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "_salt" in line]
+    assert ["_value" in line for line in wide] == [False, True]
+    salts = salted_partials(df, ["k"], "v", per_salt=50, share=20, least=10).groupBy("k").count().collect()
+    assert {r["k"] for r in salts if r["count"] > 1} == {"hot", None}
 
 
 def test_running_totals(spark):
@@ -83,7 +113,7 @@ def test_running_totals(spark):
     data = [(rnd.choice(["a", "b", None]), i, rnd.choice([None, 1, 5])) for i in range(2000)]
     rnd.shuffle(data)
     df = spark.createDataFrame(data, "g string, i bigint, n bigint")
-    sliced = df.withColumn("_slice", slice_of(F.col("i"), slice_bounds(df, "i", 7)))
+    sliced = with_slice(df, F.col("i"), slice_bounds(df, "i", 7))
     found = {(r["g"], r["i"]): r["t"] for r in running_total(sliced, ["g"], ["i"], "n", "t", 4).collect()}
     sums, wanted = defaultdict(int), {}
     for g, i, n in sorted(data, key=lambda r: r[1]):
