@@ -14,7 +14,7 @@ from .encoding import decode_ids, encode_texts
 from .frequencies import marked_terms, useless_terms
 from .languages import identify_languages, language_model, mislabelled
 from .mixing import mix_report, mixed_documents, short_sources
-from .percentiles import summary_percentiles, unfit_figures
+from .percentiles import monthly_percentiles, summary_percentiles, unfit_figures
 from .topn import top_postings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,9 @@ def queries() -> dict[str, Query]:
         "p1_percentiles": lambda spark, d: summary_percentiles(
             table(spark, d, "lookup_samples"), table(spark, d, "lookup_summaries")
         ).select("period_start", "period_days", "term", "segment_access", "metric", "size", "median", "p95"),
+        "p1_monthly": lambda spark, d: monthly_percentiles(table(spark, d, "lookup_samples")).withColumn(
+            "month", F.date_format("month", "yyyy-MM")
+        ),
         "p2_found": lambda spark, d: useless_terms(table(spark, d, "postings")),
         "p2_frequencies": lambda spark, d: marked_terms(table(spark, d, "postings")).select(
             "term", "occurrences", "documents", "mark"
@@ -114,6 +117,11 @@ def oracle_sql() -> dict[str, str]:
             select period_start, period_days, term, segment_access, metric, count(*) as size,
               quantile_disc(x, 0.5) as median, quantile_disc(x, 0.95) as p95
             from m group by 1, 2, 3, 4, 5""",
+        "p1_monthly": f"""
+            with {_SAMPLE_SQL}
+            select metric, segment_access, strftime(try_cast(recorded_on as date), '%Y-%m') as month, count(*) as size,
+              quantile_disc(x, 0.5) as median, quantile_disc(x, 0.95) as p95
+            from x group by 1, 2, 3""",
         "p2_found": f"with {_FREQUENCY_SQL} select term, mark from marks",
         "p2_frequencies": f"with {_FREQUENCY_SQL} select term, occurrences, documents, mark from freq left join marks using (term)",
         "p4_found": f"with {_PAIR_SQL} select term_a, term_b from m where together * n >= 5 * da * db",

@@ -1,13 +1,9 @@
 """Frequency of every distinct term: a global integer dictionary and blockwise count arrays.
 
-Terms are dealt to the partitions of one shuffle, a heavy term to several of them. The
-partition that owns a light term numbers it while counting, so its rows are never
-encoded and no join with a dictionary as large as the vocabulary is needed: an
-identifier is (part, number), where light terms of a part are numbered in byte order.
-Heavy terms, of which there are at most ``HEAVY_SHARE``, are numbered beforehand in part
--1 and known everywhere. Each partition adds its rows to count arrays of ``BLOCK``
-consecutive identifiers, one for occurrences and one for record presence; the arrays are
-then exploded and summed by identifier, which only heavy terms need.
+The distinct terms get whole numbers from 0 in byte order. Rows are encoded by this
+dictionary and dealt out by blocks of ``BLOCK`` consecutive numbers, a block with many rows
+to several tasks. Each task adds its rows to two count arrays of a block, one for
+occurrences and one for record presence, and the arrays of a block are then summed.
 """
 
 from __future__ import annotations
@@ -16,128 +12,144 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.postings import counting_postings, counting_rows
-from ..operators.salted import HEAVY_ROWS, HEAVY_SHARE, SALTS_MAX, heavy_keys
-from ..runtime import ship, shuffle_width
+from ..operators.index import with_ordinals
+from ..operators.postings import counting_rows
+from ..operators.salted import HEAVY_ROWS, SALTS_MAX, heavy_keys
+from ..runtime import cut, ship, shuffle_width
 
 #: Identifiers in a block of count arrays.
-BLOCK = 4_096
-#: Bits of an identifier that number the terms of a part.
-PART_SHIFT = 40
-_BLOCKS = "part int, block bigint, terms array<string>, occurrences array<bigint>, documents array<bigint>"
-_ARROW = pa.schema(
-    [
-        ("part", pa.int32()),
-        ("block", pa.int64()),
-        ("terms", pa.list_(pa.string())),
-        ("occurrences", pa.list_(pa.int64())),
-        ("documents", pa.list_(pa.int64())),
-    ]
-)
-
-
-class _Counts:
-    """Two count arrays for a run of identifiers and the terms they stand for."""
-
-    def __init__(self, size: int) -> None:
-        self.terms: list[str | None] = [None] * size
-        self.occurrences = np.zeros(size, np.int64)
-        self.documents = np.zeros(size, np.int64)
-
-    def batch(self, part: int, block: int, start: int, stop: int) -> pa.RecordBatch:
-        cut = slice(start, stop)
-        values = [[part], [block], [self.terms[cut]], [self.occurrences[cut]], [self.documents[cut]]]
-        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, _ARROW, strict=True)], schema=_ARROW)
+BLOCK = 1_024
+#: Most terms whose dictionary is broadcast; of a larger one only the heavy terms are.
+BROADCAST_TERMS = 500_000
+#: Parts of a block's rows for each partition of a shuffle, so that no part fills one.
+PARTS_EACH = 4
+_BLOCKS = "block bigint, occurrences array<bigint>, documents array<bigint>"
+_LISTS = pa.list_(pa.int64())
+_ARROW = pa.schema([("block", pa.int64()), ("occurrences", _LISTS), ("documents", _LISTS)])
+
+
+def _arrays(block: int, occurrences: np.ndarray, documents: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([occurrences], _LISTS), pa.array([documents], _LISTS)], schema=_ARROW)
 
 
 def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Count arrays of one partition, whose rows come sorted by term.
+    """Count arrays of one partition from rows (id, occurrences), one for each record, in the order of blocks.
 
-    Light terms are numbered as they come, so one block of them is held at a time,
-    besides the arrays of the heavy terms, whose number is bounded.
+    One block is held at a time.
     """
-    light, used, block, part = _Counts(BLOCK), 0, 0, 0
-    heavy = _Counts(HEAVY_SHARE + 1)
+    held: int | None = None
+    occurrences = documents = np.zeros(BLOCK, np.int64)
+    for batch in batches:
+        ids, amounts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        blocks = ids // BLOCK
+        cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            if low == high:
+                continue
+            if blocks[low] != held:
+                if held is not None:
+                    yield _arrays(held, occurrences, documents)
+                held, occurrences, documents = int(blocks[low]), np.zeros(BLOCK, np.int64), np.zeros(BLOCK, np.int64)
+            places = ids[low:high] - held * BLOCK
+            # Whole numbers are added as such: sums of floats would lose the last digits.
+            np.add.at(occurrences, places, amounts[low:high])
+            documents += np.bincount(places, minlength=BLOCK)
+    if held is not None:
+        yield _arrays(held, occurrences, documents)
+
+
+def _block_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the arrays of each block, which come in the order of blocks."""
+    held: int | None = None
+    occurrences = documents = np.zeros(0, np.int64)
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        coded = batch.column("term").dictionary_encode()
-        codes, terms = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        amounts = batch.column("occurrences").to_numpy()
-        numbers = batch.column("heavy").fill_null(-1).to_numpy()
-        part = batch.column("part")[0].as_py()
-        starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-        sums, counts = np.add.reduceat(amounts, starts), np.diff(np.r_[starts, len(codes)])
-        for code, number, total, count in zip(codes[starts].tolist(), numbers[starts].tolist(), sums.tolist(), counts.tolist(), strict=True):
-            term = terms[code]
-            if number >= 0:
-                into, at = heavy, number
-            else:
-                if not used or light.terms[used - 1] != term:
-                    if used == BLOCK:
-                        yield light.batch(part, block, 0, used)
-                        light, used, block = _Counts(BLOCK), 0, block + 1
-                    used += 1
-                into, at = light, used - 1
-            into.terms[at] = term
-            into.occurrences[at] += total
-            into.documents[at] += count
-    if used:
-        yield light.batch(part, block, 0, used)
-    for start in range(0, HEAVY_SHARE + 1, BLOCK):
-        if heavy.documents[start : start + BLOCK].any():
-            yield heavy.batch(-1, start // BLOCK, start, min(start + BLOCK, HEAVY_SHARE + 1))
-
-
-def count_blocks(postings: DataFrame, per_salt: int = HEAVY_ROWS) -> DataFrame:
-    """Count arrays (part, block, terms, occurrences, documents) of each partition.
-
-    Blocks of part -1 belong to heavy terms and come from several partitions.
+        parts = [batch.column(i).values.to_numpy().reshape(-1, BLOCK) for i in (1, 2)] if batch.num_rows else []
+        first = batch.column(1).offsets[0].as_py() // BLOCK if batch.num_rows else 0
+        for at, block in enumerate(batch.column(0).to_pylist()):
+            if block != held:
+                if held is not None:
+                    yield _arrays(held, occurrences, documents)
+                held, occurrences, documents = block, np.zeros(BLOCK, np.int64), np.zeros(BLOCK, np.int64)
+            occurrences = occurrences + parts[0][first + at]
+            documents = documents + parts[1][first + at]
+    if held is not None:
+        yield _arrays(held, occurrences, documents)
+
+
+def term_dictionary(rows: DataFrame) -> DataFrame:
+    """(term, term_id, parts) of the distinct terms of ``rows``, numbered from 0 in byte order.
+
+    ``parts`` tells over how many tasks the rows of the term's block are dealt out. Numbers
+    come from range slices; nothing is gathered. The table is written once.
     """
-    width = shuffle_width(postings.sparkSession)
-    heavy = heavy_keys(counting_rows(postings).select("term"), ["term"])
-    # At most HEAVY_SHARE rows, so numbering them in one task and sending them everywhere is bounded.
-    numbered = F.broadcast(
-        heavy.select(
-            "term",
-            (F.row_number().over(Window.orderBy("term")) - 1).alias("heavy"),
-            F.least(F.lit(SALTS_MAX), F.ceil(F.col("_rows") / F.lit(per_salt))).alias("_salts"),
-        )
-    )
-    rows = counting_postings(postings).join(numbered, "term", "left")
-    salt = F.coalesce(F.pmod(F.xxhash64("document_id"), F.col("_salts")), F.lit(0)).cast("int")
-    records = (
-        rows.withColumn("salt", salt)
-        .repartition(width, "term", "salt")
-        .groupBy("term", "salt", "document_id")
-        .agg(F.sum("term_frequency").alias("occurrences"), F.first("heavy").alias("heavy"))
-    )
-    sorted_rows = records.select("term", "heavy", "occurrences", F.spark_partition_id().alias("part")).sortWithinPartitions("term")
-    ship(postings.sparkSession)
-    return sorted_rows.mapInArrow(_block_counts, _BLOCKS)
+    width = shuffle_width(rows.sparkSession)
+    counts = cut(rows.groupBy("term").agg(F.count(F.lit(1)).alias("_rows")).withColumn("segment_id", F.lit(0)))
+    numbered = cut(with_ordinals(counts).select("term", F.col("term_ordinal").alias("term_id"), "_rows"))
+    block = F.floor(F.col("term_id") / BLOCK).alias("block")
+    total = numbered.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("n")).first()["n"]
+    each = max(HEAVY_ROWS, -(-total // (width * PARTS_EACH)))
+    # One row for each block, so far fewer than terms.
+    blocks = numbered.groupBy(block).agg(F.least(F.lit(SALTS_MAX), F.ceil(F.sum("_rows") / F.lit(each))).cast("int").alias("parts"))
+    return cut(numbered.withColumn("block", block).join(blocks, "block").select("term", "term_id", "parts"))
+
+
+def encoded_postings(postings: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(segment_id, term_id, parts, document_id, term_frequency) of the counting rows, by the dictionary.
+
+    A dictionary of up to ``BROADCAST_TERMS`` terms is broadcast. Of a larger one the heavy
+    terms are, and only rows of light terms move to it, so no term fills a task.
+    """
+    rows = counting_rows(postings)
+    names = ["segment_id", "term_id", "parts", "document_id", "term_frequency"]
+    if dictionary.count() <= BROADCAST_TERMS:
+        return rows.join(F.broadcast(dictionary), "term").select(*names)
+    heavy = F.broadcast(heavy_keys(rows.select("term"), ["term"]).join(dictionary, "term").select("term", "term_id", "parts"))
+    light = rows.join(heavy.select("term"), "term", "left_anti").join(dictionary, "term")
+    return rows.join(heavy, "term").select(*names).unionByName(light.select(*names))
+
+
+def count_blocks(encoded: DataFrame) -> DataFrame:
+    """Count arrays (block, occurrences, documents), one row for each block of identifiers.
+
+    Repeated postings are combined before they are shuffled, and a record's postings of
+    several segments meet in one task, as its part of the block depends on its id alone.
+    """
+    width = shuffle_width(encoded.sparkSession)
+    once = encoded.groupBy("segment_id", "term_id", "parts", "document_id").agg(F.max("term_frequency").alias("n"))
+    dealt = once.select(
+        F.floor(F.col("term_id") / BLOCK).alias("block"),
+        F.pmod(F.xxhash64("document_id"), F.col("parts")).alias("part"),
+        "term_id",
+        "document_id",
+        "n",
+    ).repartition(width, "block", "part")
+    records = dealt.groupBy("block", "part", "term_id", "document_id").agg(F.sum("n").alias("occurrences"))
+    ship(encoded.sparkSession)
+    arrays = records.sortWithinPartitions("block").select("term_id", "occurrences").mapInArrow(_block_counts, _BLOCKS)
+    return arrays.repartition(width, "block").sortWithinPartitions("block").mapInArrow(_block_sums, _BLOCKS)
 
 
 def term_frequencies(postings: DataFrame) -> DataFrame:
     """Every distinct term of the counting postings with its identifier and counts.
 
     Gives (term_id, term, occurrences, documents): the sum of term_frequency over the
-    counting postings and the number of distinct document_id. Repeated rows count once
-    with their greatest frequency; a document in two segments is one document. Rows
-    with nulls or ungrammatical terms don't count; an empty table gives an empty
-    result. Identifiers are unique within one result, not between runs over other data.
+    counting postings and the number of distinct document_id. Identifiers are whole
+    numbers from 0 in byte order of the terms. Repeated rows count once with their
+    greatest frequency; a document in two segments is one document. Rows with nulls or
+    ungrammatical terms don't count; an empty table gives an empty result.
     """
-    flat = count_blocks(postings).select(
-        "part", "block", F.posexplode(F.arrays_zip("terms", "occurrences", "documents")).alias("place", "at")
+    dictionary = term_dictionary(counting_rows(postings).select("term"))
+    flat = count_blocks(encoded_postings(postings, dictionary)).select(
+        "block", F.posexplode(F.arrays_zip("occurrences", "documents")).alias("place", "at")
     )
-    identifier = F.shiftleft((F.col("part") + 1).cast("bigint"), PART_SHIFT) + F.col("block") * BLOCK + F.col("place")
-    return (
-        flat.where(F.col("at.documents") > 0)
-        .groupBy(identifier.alias("term_id"), F.col("at.terms").alias("term"))
-        .agg(F.sum("at.occurrences").alias("occurrences"), F.sum("at.documents").alias("documents"))
+    counts = flat.where(F.col("at.documents") > 0).select(
+        (F.col("block") * BLOCK + F.col("place")).alias("term_id"), "at.occurrences", "at.documents"
     )
+    # Both sides have one row for each term.
+    return counts.join(dictionary.select("term_id", "term"), "term_id").select("term_id", "term", "occurrences", "documents")
 
 
 def document_count(postings: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.slices import running_total, slice_of
+from ..operators.slices import running_total
 from ..runtime import cut, shuffle_width, spread
 from .encoding import BYTE_BPE, count_tokens
 
@@ -56,9 +56,9 @@ def source_queues(documents: DataFrame, targets: DataFrame, file: str = BYTE_BPE
     # Tokens are counted once and kept; all later steps read these few narrow columns.
     sized = cut(count_tokens(rows, file).withColumn("copy", F.monotonically_increasing_id()))
     slices = width * SLICES_EACH
-    # Hashes are even over their whole range, so even bounds make even slices.
-    bounds = [-(2**63) + i * (2**64 // slices) for i in range(1, slices)]
-    sliced = sized.withColumn("_slice", slice_of(F.col("mixed"), bounds))
+    # Hashes are even over their whole range, so even slices are as long.
+    part = F.floor((F.col("mixed").cast("double") / F.lit(2.0**64) + 0.5) * slices)
+    sliced = sized.withColumn("_slice", F.least(part, F.lit(slices - 1)).cast("int"))
     return running_total(sliced, ["_source"], ["mixed", "doc_id", "copy"], "tokens", "upto", width).drop("_slice")
 
 
@@ -138,8 +138,10 @@ def mix_report(documents: DataFrame, targets: DataFrame, file: str = BYTE_BPE) -
 
     (mix_name, source, target_share, max_repeats, size, budget, tokens, share, most_uses,
     short): the tokens and share of the source in its mix, how often its documents were
-    used at most, and whether its queue, repeated max_repeats times, ends before it has
-    its share of the budget.
+    used at most, and whether it fell short. A source is short if the mix has used up its
+    queue, all repetitions of it, and got less than its share of the budget. Its queue
+    then ends before the virtual time at which every source would have given its share,
+    so all of it is in the mix.
     """
     goals = _targets(targets)
     queues = cut(source_queues(documents, goals, file))
@@ -148,7 +150,9 @@ def mix_report(documents: DataFrame, targets: DataFrame, file: str = BYTE_BPE) -
         F.sum("tokens").alias("tokens"), (F.max("repeat") + 1).alias("most_uses")
     )
     whole = used.groupBy("mix_name").agg(F.sum("tokens").alias("_whole"))
-    short = F.col("target_share") * F.col("budget") > F.col("max_repeats") * F.col("size")
+    got = F.coalesce("tokens", F.lit(0))
+    used_up = got == F.col("max_repeats") * F.col("size")
+    short = used_up & (F.col("target_share") * F.col("budget") > got)
     return (
         known.join(used, ["mix_name", "source"], "left")
         .join(whole, "mix_name", "left")

@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.slices import deal, slice_bounds, slice_of, with_offsets
+from ..operators.slices import deal, quantiles_of, slice_bounds, with_offsets, with_slice
 from ..runtime import cut, ship, shuffle_width
 
 #: Slices for each partition; more than one, as no two are of quite the same size.
 SLICES_EACH = 2
 #: Most rows of the table from days to periods that is broadcast; a larger one is joined by a shuffle.
 BROADCAST_DAYS = 1_000_000
+#: Parts that the rows of a day are split into by that shuffle.
+DAY_PARTS = 32
 METRICS = ("segment_open", "total")
 
 
@@ -162,14 +164,14 @@ def percentiles(state: DataFrame, groups: Sequence[str], ranks: Sequence[Rank],
         match = F.col(g).eqNullSafe(F.col(f"_g_{g}"))
         on = match if on is None else on & match
     merged = merge_counts(state, groups).join(known, on)
-    rows = merged.select(
-        slice_of(F.col("value"), bounds, ["gid"]).alias("_slice"), F.array("gid").alias("own"), "gid",
+    rows = with_slice(merged, F.col("value"), bounds, ["gid"]).select(
+        "_slice", F.array("gid").alias("own"), "gid",
         F.lit(0).alias("metric"), F.col("value").cast("double").alias("value"), "n", F.lit(None).cast("bigint").alias("_whole"),
     )
     totals = rows.groupBy("gid", "metric", "_slice").agg(F.sum("n").alias("n"))
     placed = deal(rows.drop("gid").unionByName(_starts(totals)), width)
     picked = _pick(placed.withColumnRenamed("own", "gids"), ranks)
-    return names.join(picked, "gid").select(*groups, "size", *[r.name for r in ranks])
+    return names.join(picked.drop("metric"), "gid").select(*groups, "size", *[r.name for r in ranks])
 
 
 def distinct_samples(samples: DataFrame) -> DataFrame:
@@ -222,7 +224,7 @@ def summary_percentiles(samples: DataFrame, summaries: DataFrame) -> DataFrame:
     slices = width * SLICES_EACH
     seen = measured.agg(
         F.min("day").alias("low"), F.max("day").alias("high"),
-        F.percentile_approx("value", [i / slices for i in range(1, slices)] or [0.5], 1_000).alias("bounds"),
+        quantiles_of("value", slices).alias("bounds"),
     ).first()
     low, high = (seen["low"], seen["high"]) if seen["low"] is not None else (0, -1)
     bounds = list(seen["bounds"] or [])
@@ -237,7 +239,6 @@ def summary_percentiles(samples: DataFrame, summaries: DataFrame) -> DataFrame:
     groups = cut(spans)
     days = groups.agg(F.coalesce(F.sum(F.col("_to") - F.col("_from") + 1), F.lit(0))).first()[0]
     few = days <= BROADCAST_DAYS
-    hint = F.broadcast if few else (lambda d: d)
     of_day = groups.withColumn("day", F.explode(F.sequence("_from", "_to")))
     one = of_day.where(F.col("term") != "*").groupBy("term", "segment_access", "day").agg(F.collect_list("gid").alias("_one"))
     every = of_day.where(F.col("term") == "*").groupBy("segment_access", "day").agg(F.collect_list("gid").alias("_every"))
@@ -245,12 +246,20 @@ def summary_percentiles(samples: DataFrame, summaries: DataFrame) -> DataFrame:
     def with_groups(rows: DataFrame) -> DataFrame:
         """``gids``: the groups that rows belong to, besides those in ``own``."""
         none = F.array().cast("array<bigint>")
-        joined = rows.join(hint(one), ["term", "segment_access", "day"], "left").join(hint(every), ["segment_access", "day"], "left")
+        if few:
+            joined = rows.join(F.broadcast(one), ["term", "segment_access", "day"], "left").join(F.broadcast(every), ["segment_access", "day"], "left")
+        else:
+            # A day and access hold many rows: they are split by slice, and the few rows of periods copied to each part.
+            parts = F.explode(F.sequence(F.lit(0), F.lit(DAY_PARTS - 1)))
+            split = rows.withColumn("_part", F.pmod("_slice", F.lit(DAY_PARTS)))
+            joined = split.join(one.withColumn("_part", parts), ["term", "segment_access", "day", "_part"], "left").join(
+                every.withColumn("_part", parts), ["segment_access", "day", "_part"], "left"
+            )
         gids = F.concat(*[F.coalesce(c, none) for c in ("_one", "_every", "own")])
         return joined.withColumn("gids", gids).where(F.size("gids") > 0)
 
     nothing = F.lit(None).cast("array<bigint>")
-    counts = duration_counts(samples).withColumn("_slice", slice_of(F.col("value"), bounds, ["term", "day"]))
+    counts = with_slice(duration_counts(samples), F.col("value"), bounds, ["term", "day"])
     cells = counts.groupBy("metric", "term", "segment_access", "day", "_slice").agg(F.sum("n").alias("n"))
     of_groups = with_groups(cells.withColumn("own", nothing)).select("metric", "_slice", "n", F.explode("gids").alias("gid"))
     starts = _starts(of_groups.groupBy("gid", "metric", "_slice").agg(F.sum("n").alias("n")))
@@ -265,6 +274,20 @@ def summary_percentiles(samples: DataFrame, summaries: DataFrame) -> DataFrame:
     ).drop("gid")
 
 
+def monthly_percentiles(samples: DataFrame) -> DataFrame:
+    """(metric, segment_access, month, size, median, p95): the daily states of all terms merged into calendar months.
+
+    Samples without a date or access are groups of their own, with nulls.
+    """
+    month = F.trunc(F.date_from_unix_date("day"), "month").alias("month")
+    daily = duration_counts(samples).select("metric", "segment_access", month, "value", "n")
+    groups = ["metric", "segment_access", "month"]
+    state = cut(merge_counts(daily, groups))
+    ranks = [PUBLISHED[s][0] for s in PUBLISHED]
+    name = F.element_at(F.array(*[F.lit(m) for m in METRICS]), F.col("metric") + 1)
+    return percentiles(state, groups, ranks).withColumn("metric", name)
+
+
 def unfit_figures(samples: DataFrame, summaries: DataFrame) -> DataFrame:
     """(summary_id, metric, stat) of published figures that don't fit their samples, each once.
 

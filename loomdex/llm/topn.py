@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..operators.postings import counting_postings, counting_rows
 from ..operators.salted import HEAVY_ROWS, HEAVY_SHARE, heavy_keys
-from ..operators.slices import count_below, slice_bounds
+from ..operators.slices import slice_bounds, with_slice
+from ..runtime import shuffle_width
 
-#: Ranges that the items of hot groups are split into.
+#: Least ranges that the items of hot groups are split into, and salts among equal scores.
 RANGES = 64
 
 
@@ -54,12 +55,12 @@ def top_n(
         on = match if on is None else on & match
     marked = rows.join(keys, on, "left").drop(*[f"_h_{g}" for g in groups])
     light = _ranked(marked.where(F.col("_hot").isNull()), groups, order, n)
-    bounds = slice_bounds(rows if counted is None else counted, score, RANGES)
-    salted = marked.where(F.col("_hot").isNotNull()).withColumns(
-        {
-            "_range": count_below(F.col(score), sorted(set(bounds)), inclusive=True),
-            "_salt": F.pmod(F.xxhash64(*ties), F.lit(RANGES)),
-        }
+    ranges = max(RANGES, shuffle_width(rows.sparkSession))
+    # The bounds are those of the hot groups alone, whose scores they are to split.
+    hot_rows = (rows if counted is None else counted).join(keys, on, "left_semi")
+    bounds = sorted(set(slice_bounds(hot_rows, f"`{score}`", ranges)))
+    salted = with_slice(marked.where(F.col("_hot").isNotNull()), F.col(score), bounds, name="_range").withColumn(
+        "_salt", F.pmod(F.xxhash64(*ties), F.lit(ranges))
     )
     parts = _ranked(salted, [*groups, "_range", "_salt"], order, n)
     heavy = _ranked(parts.drop("place"), groups, order, n)

@@ -13,6 +13,7 @@ from loomdex.llm import cooccurrence, frequencies
 from loomdex.llm.cooccurrence import cooccurring, strong_pairs, term_pairs
 from loomdex.llm.frequencies import marked_terms, term_frequencies, useless_terms
 from loomdex.llm.topn import top_n, top_postings
+from loomdex.operators.postings import counting_rows
 from tests.conftest import rows
 
 SCHEMA = "segment_id bigint, term string, local_document_id bigint, document_id bigint, term_frequency bigint, documents int, item int"
@@ -55,42 +56,73 @@ def test_frequencies(spark, data):
 
 
 @pytest.mark.parametrize("size", [1, 3, 1000])
-def test_blocks_of_one_partition(monkeypatch, size):
+def test_blocks_of_partitions(monkeypatch, size):
+    """Arrays of two partitions, then their sums by block, against plain counts."""
     monkeypatch.setattr(frequencies, "BLOCK", 4)
     rnd = random.Random(2)
-    flat = sorted((rnd.choice("abcdefghijkl"), rnd.randrange(1, 5)) for _ in range(200))
-    heavy = {"c": 0, "h": 9}
-    batches = [
-        pa.RecordBatch.from_pydict(
-            {"term": [t for t, _ in part], "heavy": pa.array([heavy.get(t) for t, _ in part], pa.int32()),
-             "occurrences": [n for _, n in part], "part": pa.array([3] * len(part), pa.int32())}
-        )
-        for part in (flat[i : i + size] for i in range(0, len(flat), size))
-    ]
-    found, places = {}, set()
-    for b in frequencies._block_counts(iter(batches)):
-        for r in b.to_pylist():
-            assert (r["part"] == -1) == (any(t in heavy for t in r["terms"]))
-            for i, (t, o, d) in enumerate(zip(r["terms"], r["occurrences"], r["documents"], strict=True)):
-                if d:
-                    assert (r["part"], r["block"], i) not in places and t not in found
-                    places.add((r["part"], r["block"], i))
-                    found[t] = (o, d)
-    assert found == {t: (sum(n for x, n in flat if x == t), sum(x == t for x, _ in flat)) for t, _ in flat}
+    flat = [(rnd.randrange(40), rnd.choice([1, 3, 2**55])) for _ in range(300)]
+    arrays = []
+    for part in (flat[:200], flat[200:]):
+        part = sorted(part, key=lambda r: r[0] // 4)
+        batches = [pa.RecordBatch.from_arrays([pa.array([i for i, _ in p]), pa.array([n for _, n in p])], ["id", "n"]) for p in (part[i : i + size] for i in range(0, len(part), size))]
+        found = [r for b in frequencies._block_counts(iter(batches)) for r in b.to_pylist()]
+        assert [r["block"] for r in found] == sorted({i // 4 for i, _ in part})
+        arrays += found
+    arrays.sort(key=lambda r: r["block"])
+    batches = [pa.RecordBatch.from_pylist(arrays[i : i + size], frequencies._ARROW) for i in range(0, len(arrays), size)]
+    found = [r for b in frequencies._block_sums(iter([b.slice(0, 0) for b in batches[:1]] + batches)) for r in b.to_pylist()]
+    assert len({r["block"] for r in found}) == len(found)
+    got = {r["block"] * 4 + i: (o, d) for r in found for i, (o, d) in enumerate(zip(r["occurrences"], r["documents"], strict=True)) if d}
+    assert got == {i: (sum(n for x, n in flat if x == i), sum(x == i for x, _ in flat)) for i, _ in flat}
+
+
+def test_identifiers_are_global(spark, data):
+    """The dictionary numbers the terms in byte order; blocks with many rows are dealt out."""
+    rows_of = counting_rows(spark.createDataFrame(data, SCHEMA)).select("term")
+    found = frequencies.term_dictionary(rows_of).collect()
+    assert [r["term"] for r in sorted(found, key=lambda r: r["term_id"])] == sorted({t for _, t, _ in counting(data)})
+    assert sorted(r["term_id"] for r in found) == list(range(len(found))) and all(r["parts"] >= 1 for r in found)
+
+
+def test_a_dictionary_too_large_to_broadcast(spark, data, monkeypatch):
+    df = spark.createDataFrame(data, SCHEMA)
+    wanted = rows(term_frequencies(df))
+    monkeypatch.setattr(frequencies, "BROADCAST_TERMS", 0)
+    assert rows(term_frequencies(df)) == wanted
+
+
+def stripe_batches(records, low=0, high=1 << 30, size=30):
+    for i in range(0, len(records), size):
+        some = records[i : i + size]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.list_(pa.int32())), pa.array([low] * len(some)), pa.array([high] * len(some))], ["items", "low", "high"])
 
 
 @pytest.mark.parametrize("held", [3, 40, 4_000_000])
-def test_stripes_of_one_partition(monkeypatch, held):
+def test_stripes_of_partitions(monkeypatch, held):
+    """Stripes of two partitions, one record's pairs dealt out to both, merged by item and range."""
     monkeypatch.setattr(cooccurrence, "PAIRS_HELD", held)
+    monkeypatch.setattr(cooccurrence, "RANGE_BITS", 2)
     rnd = random.Random(3)
     records = [sorted(rnd.sample(range(30), rnd.randrange(12))) for _ in range(100)] + [[]]
-    batches = [pa.RecordBatch.from_arrays([pa.array(records[i : i + 30], pa.list_(pa.int32()))], ["items"]) for i in range(0, 101, 30)]
-    found = Counter()
-    for b in cooccurrence._stripes(iter(batches)):
-        for r in b.to_pylist():
-            for other, n in zip(r["neighbours"], r["counts"], strict=True):
-                found[r["item"], other] += n
-    assert found == Counter(p for r in records for p in [*combinations(r, 2), *((x, x) for x in r)])
+    parts = [[*stripe_batches(records[:60]), *stripe_batches([records[1]], 0, 2)], [*stripe_batches(records[60:]), *stripe_batches([records[1]], 2, 9)]]
+    stripes = [r for part in parts for b in cooccurrence._stripes(iter(part)) for r in b.to_pylist()]
+    assert all({x >> 2 for x in r["neighbours"]} == {r["range"]} for r in stripes)
+    stripes.sort(key=lambda r: (r["item"], r["range"]))
+    batches = [pa.RecordBatch.from_pylist(stripes[i : i + 7], cooccurrence._ARROW) for i in range(0, len(stripes), 7)]
+    merged = [r for b in cooccurrence._merged(iter(batches), 2) for r in b.to_pylist()]
+    assert len({(r["item"], r["range"]) for r in merged}) == len(merged)
+    found = {(r["item"], other): n for r in merged for other, n in zip(r["neighbours"], r["counts"], strict=True)}
+    extra = Counter(p for p in [*combinations(records[1], 2), *((x, x) for x in records[1])] if p[0] in records[1][9:])
+    wanted = Counter(p for r in [*records, records[1]] for p in [*combinations(r, 2), *((x, x) for x in r)]) - extra
+    assert found == {p: n for p, n in wanted.items() if n >= 2}
+
+
+def test_long_records_are_dealt_out(spark, data, monkeypatch):
+    df = spark.createDataFrame(data, SCHEMA)
+    wanted = rows(term_pairs(df))
+    monkeypatch.setattr(cooccurrence, "LONG_RECORD", 4)
+    monkeypatch.setattr(cooccurrence, "RANGE_BITS", 3)
+    assert rows(term_pairs(df)) == wanted
 
 
 def test_marks(spark, data):
