@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 from operator import and_
 
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.codec import varint_length
 from ..functions.text import words
 from ..runtime import shuffle_width
+from .postings import TERM_PATTERN
 from .salted import heavy_keys
-from .slices import running_total, slice_bounds, with_slice
+from .slices import deal, running_total, slice_bounds, with_slice
 
 #: Bytes of a segment without terms, and of each term besides its name, counts and postings.
 SEGMENT_BYTES, TERM_BYTES = 30, 24
@@ -129,6 +131,71 @@ def with_ordinals(dictionary: DataFrame) -> DataFrame:
     return ranked.withColumn("term_ordinal", (F.col("_n") - 1).cast("bigint")).drop("_slice", "_one", "_n", "_number")
 
 
+def sorted_postings(postings: DataFrame) -> DataFrame:
+    """Postings of one segment in the order of term and document, with ``part`` and ``posting_bytes``.
+
+    Parts are range slices of that order, one after the other; a term that fills several
+    is cut by document, so parts stay in order. ``posting_bytes`` is what a posting takes
+    after the one before it in its part and term; null for the first, whose distance
+    depends on earlier parts.
+    """
+    width = shuffle_width(postings.sparkSession)
+    numbered = postings.withColumn("_number", term_number(F.col("term")))
+    bounds = slice_bounds(numbered, "_number", width * SLICES_EACH)
+    sliced = with_slice(numbered, F.col("_number"), bounds)
+    copies = {int(b): n for b, n in Counter(bounds).items() if n > 1}
+    if copies:
+        # A number that fills several slices stands for one hot term, whose rows are dealt out by document within those;
+        # other terms with the same first bytes go before or behind it. As many rows as slices, whatever the data.
+        spark = postings.sparkSession
+        known = F.broadcast(spark.createDataFrame(list(copies.items()), "_number bigint, _copies int"))
+        counts = numbered.join(known, "_number").groupBy("_number", "_copies", "term").agg(F.count(F.lit(1)).alias("_n"))
+        hot = F.broadcast(counts.groupBy("_number", "_copies").agg(F.max_by("term", F.struct("_n", "term")).alias("_hot")))
+        last = postings.agg(F.max("local_document_id")).first()[0] or 0
+        place = F.floor((F.lit(last) - F.col("local_document_id")) * (F.col("_copies") + 1) / F.lit(last + 1))
+        back = F.when(F.col("term") < F.col("_hot"), F.col("_copies")).when(F.col("term") == F.col("_hot"), place).otherwise(F.lit(0))
+        joined = sliced.join(hot, "_number", "left")
+        sliced = joined.withColumn("_slice", (F.col("_slice") - F.coalesce(back, F.lit(0))).cast("int"))
+    by = Window.partitionBy("_slice", "term").orderBy("local_document_id")
+    delta = F.col("local_document_id") - F.lag("local_document_id").over(by)
+    size = (varint_length(delta) + varint_length(F.col("term_frequency"))).cast("int")
+    rows = deal(sliced, width).withColumn("posting_bytes", size)
+    return rows.select("segment_id", "term", "local_document_id", "term_frequency", F.col("_slice").alias("part"), "posting_bytes").sortWithinPartitions(
+        "part", "term", "local_document_id"
+    )
+
+
+def dictionary_of_parts(postings: DataFrame) -> DataFrame:
+    """(segment_id, term, part, document_frequency, postings_bytes) of postings from ``sorted_postings``.
+
+    Rows are added up on the map side, so one row for each term and part is shuffled; the
+    first posting of each part takes the distance from the last of the part before.
+    ``part`` is the first in which the term stands.
+    """
+    keys = ["segment_id", "term"]
+    first = F.min_by("term_frequency", "local_document_id").alias("_tf")
+    parts = postings.groupBy(*keys, "part").agg(
+        F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum("posting_bytes"), F.lit(0)).alias("_b"), first,
+        F.min("local_document_id").alias("_low"), F.max("local_document_id").alias("_high"),
+    )
+    before = F.lag("_high").over(Window.partitionBy(*keys).orderBy("part"))
+    head = varint_length(F.col("_low") - F.coalesce(before, F.lit(0))) + varint_length(F.col("_tf"))
+    return parts.withColumn("_b", F.col("_b") + head).groupBy(*keys).agg(
+        F.min("part").alias("part"), F.sum("_n").alias("document_frequency"), F.sum("_b").alias("postings_bytes")
+    )
+
+
+def ordinals_of_parts(dictionary: DataFrame) -> DataFrame:
+    """Add ``term_ordinal`` to a dictionary whose ``part`` is in the order of terms: terms of earlier parts, and the place in its own."""
+    counts = dictionary.groupBy("segment_id", "part").agg(F.count(F.lit(1)).alias("_n"))
+    # One row for each part, as many as a shuffle has partitions.
+    earlier = Window.partitionBy("segment_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("segment_id", "part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("segment_id", "part").orderBy("term"))
+    ranked = dictionary.withColumn("_place", place).join(F.broadcast(offsets), ["segment_id", "part"])
+    return ranked.withColumn("term_ordinal", (F.col("_before") + F.col("_place") - 1).cast("bigint")).drop("_before", "_place")
+
+
 def term_bytes() -> Column:
     """Bytes of a dictionary record with its postings in the segment format."""
     name = F.octet_length("term")
@@ -159,6 +226,26 @@ def manifest_totals(stats: DataFrame) -> DataFrame:
     )
 
 
+def unordered_lists(lists: DataFrame) -> DataFrame:
+    """(segment_id, term, document, previous): the first place of each posting list at which documents don't strictly increase.
+
+    ``lists`` are as from ``posting_lists``, in the order in which they would be encoded.
+    """
+    documents = F.transform("postings", lambda p: p["local_document_id"])
+    pairs = F.filter(
+        F.transform(F.sequence(F.lit(1), F.size("_d") - 1), lambda i: F.struct(F.get("_d", i).alias("document"), F.get("_d", i - 1).alias("previous"))),
+        lambda p: p["previous"] >= p["document"],
+    )
+    several = lists.select("segment_id", "term", documents.alias("_d")).where(F.size("_d") > 1)
+    return several.select("segment_id", "term", F.get(pairs, F.lit(0)).alias("at")).where(F.col("at").isNotNull()).select("segment_id", "term", "at.*")
+
+
+def invalid_records() -> Column:
+    """Whether a stored dictionary record breaks a rule: a term of letters and digits, documents and bytes of at least 1."""
+    fine = F.col("term").rlike(TERM_PATTERN) & (F.col("document_frequency") > 0) & (F.col("postings_bytes") > 0) & (F.col("term_ordinal") >= 0)
+    return ~F.coalesce(fine, F.lit(False))
+
+
 def invariant_violations(postings: DataFrame, documents: DataFrame) -> DataFrame:
     """One row of counts that are all 0 for a sound index: empty_term, zero_tf, unknown_doc, repeated_doc.
 

@@ -34,27 +34,29 @@ def lookup_stats(dictionary: DataFrame, segments: DataFrame, terms: str | Sequen
     """One row (term, searched, matching, comparisons, matched, bytes) for each given term.
 
     ``segments`` has (segment_id, term_count) of every visible segment; one without terms
-    is searched with no comparison. The dictionary is read once, and of it only
-    segment_id, term and two counts.
+    is searched with no comparison. Of a stored dictionary, which has ``term_ordinal``, only
+    the row groups with terms from the least one asked for are read: the rank of a term is
+    the ordinal of the first term of its segment that isn't below it.
     """
     asked = [check_query_term(t) for t in ([terms] if isinstance(terms, str) else terms)]
     figures = []
     for i, term in enumerate(asked):
-        here = F.col("term") == term
+        beyond, here = F.col("term") >= term, F.col("term") == term
         figures += [
-            F.count_if(F.col("term") < term).alias(f"rank{i}"),
+            F.min(F.when(beyond, F.col("term_ordinal"))).alias(f"rank{i}"),
             F.max(here).alias(f"found{i}"),
             F.sum(F.when(here, F.col("document_frequency"))).alias(f"df{i}"),
             F.sum(F.when(here, F.col("postings_bytes"))).alias(f"pb{i}"),
         ]
-    each = segments.select("segment_id", "term_count").join(dictionary.groupBy("segment_id").agg(*figures), "segment_id", "left")
+    some = dictionary.where(F.col("term") >= min(asked))
+    each = segments.select("segment_id", "term_count").join(some.groupBy("segment_id").agg(*figures), "segment_id", "left")
     zero = F.lit(0).cast("bigint")
     rows = F.array(
         *[
             F.struct(
                 F.lit(term).alias("term"),
                 F.coalesce(f"found{i}", F.lit(False)).alias("found"),
-                F.coalesce(f"rank{i}", zero).alias("rank"),
+                F.coalesce(f"rank{i}", "term_count").alias("rank"),
                 F.coalesce(f"df{i}", zero).alias("df"),
                 F.coalesce(f"pb{i}", zero).alias("pb"),
             )
@@ -168,12 +170,13 @@ class IndexSnapshot:
         return self.query_term(self.term_at(segment_id, ordinal)).where(F.col("segment_id") == segment_id)
 
     def lookup(self, term: str) -> LookupResult:
-        """Rows and figures of one term. The rows are counted, not gathered."""
+        """Rows and figures of one term. The rows stay lazy; their number is in the dictionary."""
         began = time.perf_counter()
         rows = self.query_term(term)
         query = lookup_stats(self.dictionary, self.segments, term).first()
         probed = time.perf_counter()
-        matched = rows.count() if query["matching"] else 0
+        # Document frequencies are counts of postings, so the rows needn't run for them.
+        matched = query["matched"]
         ended = time.perf_counter()
         m = self.manifest
         return LookupResult(

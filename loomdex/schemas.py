@@ -13,9 +13,9 @@ def _schema(**columns: T.DataType) -> T.StructType:
 
 _L, _S, _D = T.LongType(), T.StringType(), T.DoubleType()
 
-CORPUS = _schema(line_no=_L, value=_S)
-TOKENS = _schema(segment_id=_L, local_document_id=_L, pos=T.IntegerType(), term=_S)
 POSTINGS = _schema(segment_id=_L, term=_S, local_document_id=_L, term_frequency=_L)
+#: Postings as stored: with the range slice, and the bytes of the posting after another of its slice and term.
+SORTED_POSTINGS = T.StructType([*POSTINGS.fields, T.StructField("part", T.IntegerType()), T.StructField("posting_bytes", T.IntegerType())])
 DICTIONARY = _schema(segment_id=_L, term=_S, term_ordinal=_L, document_frequency=_L, postings_bytes=_L)
 MANIFEST = _schema(
     generation=_L, segment_id=_L, file_name=_S, document_count=_L, term_count=_L, length_bytes=_L, checksum=_L

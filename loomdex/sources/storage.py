@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import json
 import threading
+import time
 import zlib
 from dataclasses import asdict
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.index import SEGMENT_BYTES, dictionary_of, term_bytes, with_ordinals
-from ..schemas import DICTIONARY, POSTINGS, U32_MAX
+from ..operators.index import SEGMENT_BYTES, dictionary_of_parts, invalid_records, ordinals_of_parts, sorted_postings, term_bytes
+from ..schemas import DICTIONARY, POSTINGS, SORTED_POSTINGS, U32_MAX
 from .files import Files
 from .manifest import (
     MANIFEST_NAME,
@@ -26,7 +28,7 @@ from .manifest import (
 )
 
 INDEX_FOLDER, MANIFESTS, SEGMENTS = "index", "manifests", "segments"
-POSTINGS_TABLE, DICTIONARY_TABLE, METADATA_FILE = "postings", "dictionary", "segment.json"
+POSTINGS_TABLE, DICTIONARY_TABLE, METADATA_FILE, FILES = "postings", "dictionary", "segment.json", "files"
 
 
 class StorageError(RuntimeError):
@@ -94,47 +96,99 @@ class IndexStorage:
         encode_manifest(self.files, self.manifest_path(generation), manifest)
         return generation
 
-    def write_segment(self, segment_id: int, postings: DataFrame, document_count: int) -> SegmentMetadata:
+    def write_segment(self, segment_id: int, postings: DataFrame, document_count: int, took: dict[str, float] | None = None) -> SegmentMetadata:
         """Publish postings (segment_id, term, local_document_id, term_frequency) as one immutable segment.
 
-        Postings lie in Parquet in the order of term and document, so a lookup reads the
-        few row groups whose term range holds the term. They are range partitioned by
-        both columns, so a common term takes several files.
+        ``postings`` is worked out once, unsorted, into a temporary table; what follows
+        reads that. Postings lie in Parquet in the order of term and document, so a lookup
+        reads the few row groups whose term range holds the term; a common term takes
+        several files. ``took`` gets the milliseconds of indexing, finalization and writing.
         """
         if document_count > U32_MAX:
             raise StorageError("document count exceeds u32")
+        took = {} if took is None else took
         path = self.segment_path(segment_id)
         with self.files.written_once(path, "segment") as temporary:
-            rows = postings.select(*POSTINGS.names).repartitionByRange("term", "local_document_id")
-            rows.sortWithinPartitions("term", "local_document_id").write.parquet(f"{temporary}/{POSTINGS_TABLE}")
-            stored = self.spark.read.schema(POSTINGS).parquet(f"{temporary}/{POSTINGS_TABLE}")
-            # Ordinals read the terms several times, so these are written before they are numbered.
-            raw = f"{temporary}/terms"
-            dictionary_of(stored).write.parquet(raw)
-            # Numbering deals the terms out by ranges already.
-            terms = with_ordinals(self.spark.read.parquet(raw)).select(*DICTIONARY.names)
-            terms.sortWithinPartitions("term").write.parquet(f"{temporary}/{DICTIONARY_TABLE}")
+            raw, terms, clock = f"{temporary}/raw", f"{temporary}/terms", time.perf_counter()
+
+            def lap(name: str) -> None:
+                nonlocal clock
+                took[name], clock = (time.perf_counter() - clock) * 1e3, time.perf_counter()
+
+            postings.select(*POSTINGS.names).write.parquet(raw)
+            lap("indexing_ms")
+            unsorted = self.spark.read.schema(POSTINGS).parquet(raw)
+            most = unsorted.agg(F.max("term_frequency")).first()[0] or 0
+            if most > U32_MAX:
+                raise StorageError("frequency exceeds u32")
+            sorted_postings(unsorted).write.parquet(f"{temporary}/{POSTINGS_TABLE}")
+            lap("segment_write_ms")
+            stored = self.spark.read.schema(SORTED_POSTINGS).parquet(f"{temporary}/{POSTINGS_TABLE}")
+            # Ordinals read the terms twice, so these are written before they are numbered.
+            dictionary_of_parts(stored).write.parquet(terms)
+            ranked = ordinals_of_parts(self.spark.read.parquet(terms)).select(*DICTIONARY.names)
+            ranked.sortWithinPartitions("term").write.parquet(f"{temporary}/{DICTIONARY_TABLE}")
             self.files.delete(raw)
+            self.files.delete(terms)
             metadata = self._measure(temporary, segment_id, document_count)
-            self.files.write(f"{temporary}/{METADATA_FILE}", json.dumps(asdict(metadata)).encode())
+            content = asdict(metadata) | {FILES: self._sizes(temporary)}
+            self.files.write(f"{temporary}/{METADATA_FILE}", json.dumps(content).encode())
+            lap("finalization_ms")
         return metadata
 
+    def _sizes(self, path: str) -> dict[str, int]:
+        """Bytes of every table file of a segment."""
+        found = {}
+        for table in (POSTINGS_TABLE, DICTIONARY_TABLE):
+            for name, is_file in self.files.names(f"{path}/{table}"):
+                if is_file and name.endswith(".parquet"):
+                    found[f"{table}/{name}"] = self.files.size(f"{path}/{table}/{name}")
+        return found
+
+    def segment_digest(self, path: str) -> dict[str, int]:
+        """What a segment's tables hold: rows, bytes in the segment format, invalid term records, and the checksum over both tables.
+
+        Every row of either table counts: the checksum is of sums of row hashes and numbers of
+        rows, so one more, one less, one twice and one altered all show.
+        """
+        found: dict[str, int] = {}
+        for name, schema in ((DICTIONARY_TABLE, DICTIONARY), (POSTINGS_TABLE, POSTINGS)):
+            row = F.xxhash64(*schema.names)
+            figures = [F.count(F.lit(1)).alias("rows"), F.sum(row.bitwiseAND(F.lit(2**31 - 1))).alias("low"), F.sum(F.shiftrightunsigned(row, 32)).alias("high")]
+            if schema is DICTIONARY:
+                figures += [F.sum(term_bytes()).alias("bytes"), F.count_if(invalid_records()).alias("invalid")]
+            row = self.spark.read.schema(schema).parquet(f"{path}/{name}").agg(*figures).first()
+            found |= {f"{name}_{k}": v or 0 for k, v in row.asDict().items()}
+        text = ":".join(str(found[f"{t}_{c}"]) for t in (DICTIONARY_TABLE, POSTINGS_TABLE) for c in ("rows", "low", "high"))
+        return found | {"checksum": zlib.crc32(text.encode())}
+
     def _measure(self, path: str, segment_id: int, document_count: int) -> SegmentMetadata:
-        """Metadata as worked out from the tables: length in the segment format, checksum over the dictionary."""
-        terms = self.spark.read.schema(DICTIONARY).parquet(f"{path}/{DICTIONARY_TABLE}")
-        record = F.crc32(F.concat_ws(":", "term", "term_ordinal", "document_frequency", "postings_bytes").cast("binary"))
-        found = terms.agg(F.count(F.lit(1)).alias("n"), F.sum(term_bytes()).alias("b"), F.bit_xor(record).alias("c")).first()
-        return SegmentMetadata(
-            segment_id, SEGMENT_NAME.format(segment_id), document_count, found["n"], SEGMENT_BYTES + (found["b"] or 0), found["c"] or zlib.crc32(b"")
-        )
+        """Metadata as worked out from the tables; StorageError for a term record that breaks a rule."""
+        found = self.segment_digest(path)
+        if found[f"{DICTIONARY_TABLE}_invalid"]:
+            raise StorageError(f"segment {segment_id} has {found[f'{DICTIONARY_TABLE}_invalid']} invalid term record(s)")
+        length = SEGMENT_BYTES + found[f"{DICTIONARY_TABLE}_bytes"]
+        return SegmentMetadata(segment_id, SEGMENT_NAME.format(segment_id), document_count, found[f"{DICTIONARY_TABLE}_rows"], length, found["checksum"])
 
     def load_segment_metadata(self, segment_id: int, verify: bool = True) -> SegmentMetadata:
-        """Metadata of a published segment; with ``verify`` it is worked out again and compared."""
+        """Metadata of a published segment, whose files must all be there in their sizes.
+
+        With ``verify`` both tables are read, and counts, length and checksum worked out
+        again and compared.
+        """
         path = self.segment_path(segment_id)
         try:
-            stored = SegmentMetadata(**json.loads(self.files.read(f"{path}/{METADATA_FILE}")))
-        except (FileNotFoundError, ValueError, TypeError) as e:
+            content = json.loads(self.files.read(f"{path}/{METADATA_FILE}"))
+            sizes = content.pop(FILES)
+            stored = SegmentMetadata(**content)
+        except (FileNotFoundError, ValueError, TypeError, KeyError, AttributeError) as e:
+            raise StorageError(f"segment {segment_id} can't be read: {e}") from e
+        try:
+            same = self._sizes(path) == sizes
+        except Py4JJavaError as e:
             raise StorageError(f"segment {segment_id} can't be read: {e}") from e
+        if not same:
+            raise StorageError(f"segment {segment_id} files mismatch")
         if stored.segment_id != segment_id or verify and self._measure(path, segment_id, stored.document_count) != stored:
             raise StorageError(f"segment {segment_id} checksum mismatch")
         return stored

@@ -36,7 +36,6 @@ def test_many_blocks_are_joined_the_other_way(spark, tmp_path, monkeypatch):
     path = write(tmp_path, "a", "".join(f"line{i}\n" for i in range(5_000)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "5k")
     try:
-        assert corpus._most_blocks(spark, [100_000, 1]) == 21
         found = {r["line_no"]: r["value"] for r in read_lines(spark, path).collect()}
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -3,14 +3,26 @@
 import io
 import json
 import os
+import random
+import shutil
 
 import pytest
 
 from loomdex import cli
-from loomdex.operators.index import dictionary_of, number_documents, term_number, with_ordinals
+from loomdex.operators.index import (
+    dictionary_of,
+    dictionary_of_parts,
+    invalid_records,
+    number_documents,
+    ordinals_of_parts,
+    sorted_postings,
+    term_number,
+    unordered_lists,
+    with_ordinals,
+)
 from loomdex.plans.build import build_segment, create_index
 from loomdex.plans.snapshot import IndexSnapshot, batch_lookup, lookup_stats
-from loomdex.schemas import POSTINGS, U32_MAX
+from loomdex.schemas import DICTIONARY, POSTINGS, U32_MAX
 from loomdex.sources.files import Files
 from loomdex.sources.manifest import (
     Manifest,
@@ -127,6 +139,76 @@ def test_damaged_segments_are_refused(storage, tmp_path):
         storage.load_segment_metadata(9)
 
 
+def replaced(spark, storage, name, change):
+    """Put other rows into a table of segment 1, with the sizes of its files written anew."""
+    folder = storage.segment_path(1)
+    altered = change(spark.read.parquet(f"{folder}/{name}"))
+    altered.coalesce(1).write.parquet(f"{folder}/altered")
+    shutil.rmtree(f"{folder}/{name}")
+    os.rename(f"{folder}/altered", f"{folder}/{name}")
+
+
+@pytest.mark.parametrize("name", ["postings", "dictionary"])
+@pytest.mark.parametrize(
+    "change",
+    [
+        lambda df: df.where("term <> 'e'"),
+        lambda df: df.unionByName(df.limit(1)),
+        lambda df: df.unionByName(df),
+        lambda df: df.withColumn(df.columns[3], F.lit(99).cast("bigint")),
+        lambda df: df.limit(0),
+    ],
+)
+def test_altered_tables_are_refused(spark, storage, tmp_path, name, change):
+    """Lost, repeated and changed rows of either table, at opening by the files and on loading by the content."""
+    snapshot = IndexSnapshot(storage)
+    build_segment(storage, snapshot, corpus(tmp_path, "a", "a b c d\nb c e c\n"))
+    assert storage.load_segment_metadata(1) == snapshot.manifest.segments[0]
+    replaced(spark, storage, name, change)
+    with pytest.raises(StorageError, match="files mismatch"):
+        IndexSnapshot(storage)
+    file = f"{storage.segment_path(1)}/segment.json"
+    content = json.loads(open(file).read())
+    os.remove(f"{storage.segment_path(1)}/.segment.json.crc")
+    with open(file, "w") as f:
+        json.dump(content | {"files": storage._sizes(storage.segment_path(1))}, f)
+    with pytest.raises(StorageError, match="checksum mismatch"):
+        storage.load_segment_metadata(1)
+
+
+def test_invalid_term_records_are_refused(spark, storage, tmp_path):
+    snapshot = IndexSnapshot(storage)
+    build_segment(storage, snapshot, corpus(tmp_path, "a", "a b\n"))
+    path = storage.segment_path(1)
+    for change in ({"term": F.lit("a-b")}, {"term": F.lit("")}, {"document_frequency": F.lit(0)}, {"postings_bytes": F.lit(None)}):
+        df = spark.createDataFrame([(1, "a", 0, 1, 2)], DICTIONARY).withColumns(change)
+        assert df.where(invalid_records()).count() == 1, change
+    replaced(spark, storage, "dictionary", lambda df: df.withColumn("term", F.lit("a b")))
+    with pytest.raises(StorageError, match="invalid term record"):
+        storage._measure(path, 1, 1)
+
+
+def test_unordered_lists(spark):
+    data = [(1, "a", [(1, 1), (2, 1)]), (1, "b", [(1, 1), (1, 2)]), (2, "c", [(5, 1), (7, 1), (6, 1), (2, 1)]), (2, "d", [(9, 9)]), (2, "e", [])]
+    df = spark.createDataFrame(data, "segment_id bigint, term string, postings array<struct<local_document_id:bigint,term_frequency:bigint>>")
+    assert rows(unordered_lists(df)) == [(1, "b", 1, 1), (2, "c", 6, 7)]
+
+
+def test_hot_terms_span_parts_in_order(spark, monkeypatch):
+    """A hot term, alone or with others of the same first bytes, is cut by document; parts are in the order of term and document."""
+    rnd = random.Random(4)
+    data = [(1, t, d, rnd.randrange(1, 300)) for t, n in (("hot", 900), ("hottest1x", 2000), ("hottest1a", 30), ("hottest1z", 30), ("cold", 3)) for d in rnd.sample(range(200_000), n)]
+    df = spark.createDataFrame(data, POSTINGS)
+    stored = sorted_postings(df).cache()
+    assert stored.where("term = 'hottest1x'").select("part").distinct().count() > 2
+    found = [tuple(r)[:5] for r in stored.orderBy("part", "term", "local_document_id").collect()]
+    assert [r[:4] for r in found] == sorted(data, key=lambda r: (r[1], r[2]))
+    dictionary = ordinals_of_parts(dictionary_of_parts(stored))
+    wanted = with_ordinals(dictionary_of(df))
+    names = ["segment_id", "term", "term_ordinal", "document_frequency", "postings_bytes"]
+    assert rows(dictionary, *names) == rows(wanted, *names)
+
+
 @pytest.mark.parametrize("generation", [None, 7])
 def test_names(generation):
     assert manifest_number("manifest-00000000000000000007.json") == 7
@@ -225,7 +307,7 @@ def py_comparisons(terms, sought):
 @pytest.mark.parametrize("size", [0, 1, 2, 7, 100])
 def test_comparisons(spark, size):
     terms = sorted(f"t{i * 3}" for i in range(size))
-    dictionary = spark.createDataFrame([(1, t, 1, 2) for t in terms], "segment_id bigint, term string, document_frequency bigint, postings_bytes bigint")
+    dictionary = spark.createDataFrame([(1, t, i, 1, 2) for i, t in enumerate(terms)], DICTIONARY)
     segments = spark.createDataFrame([(1, size), (2, 0)], "segment_id bigint, term_count bigint")
     asked = ["t0", "t1", "t9", "t297", "A", "z"]
     got = {r["term"]: (r["searched"], r["comparisons"], r["matched"]) for r in lookup_stats(dictionary, segments, asked).collect()}
