@@ -19,7 +19,7 @@ USAGE = """usage:
 
 
 def creation_lines(stats: CreationStats, path: str) -> list[str]:
-    """What is printed after a build."""
+    """What is printed after a build; the labels are fixed values."""
     return [
         f"built {stats.document_count} document(s), {stats.unique_term_count} term(s), {stats.posting_count} posting(s) into {path}",
         "index creation statistics:",
@@ -35,7 +35,7 @@ def creation_lines(stats: CreationStats, path: str) -> list[str]:
 
 
 def lookup_lines(stats: LookupStats) -> list[str]:
-    """What is printed after a lookup."""
+    """What is printed after a lookup; the labels are fixed values."""
     generation = "none" if stats.manifest_generation is None else stats.manifest_generation
     return [
         "lookup statistics:",

@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.codec import varint_length
+from ..functions.codec import DOCUMENT_RANGE, document_block, varint_length
 from ..functions.text import words
 from ..runtime import shuffle_width
 from .postings import TERM_PATTERN
@@ -18,8 +18,6 @@ from .slices import deal, running_total, slice_bounds, with_slice
 
 #: Bytes of a segment without terms, and of each term besides its name, counts and postings.
 SEGMENT_BYTES, TERM_BYTES = 30, 24
-#: Documents of a hot term whose distances are worked out together.
-DOCUMENT_RANGE = 1 << 16
 SLICES_EACH = 2
 
 
@@ -76,9 +74,9 @@ def postings_of(corpus: DataFrame, text: str = "text") -> DataFrame:
 
 
 def posting_lists(postings: DataFrame) -> DataFrame:
-    """Postings as one array per term, for terms whose list fits into a row."""
+    """(segment_id, term, block, postings): the postings of each term as arrays by document range, in the order of documents."""
     pairs = F.sort_array(F.collect_list(F.struct("local_document_id", "term_frequency")))
-    return postings.groupBy("segment_id", "term").agg(pairs.alias("postings"))
+    return postings.groupBy("segment_id", "term", document_block("local_document_id").alias("block")).agg(pairs.alias("postings"))
 
 
 def dictionary_of(postings: DataFrame) -> DataFrame:
@@ -137,10 +135,10 @@ def sorted_postings(postings: DataFrame) -> DataFrame:
     Parts are range slices of that order, one after the other; a term that fills several
     is cut by document, so parts stay in order. ``posting_bytes`` is what a posting takes
     after the one before it in its part and term; null for the first, whose distance
-    depends on earlier parts.
+    depends on earlier parts. Postings may come with ``_number``, the ``term_number`` of their term.
     """
     width = shuffle_width(postings.sparkSession)
-    numbered = postings.withColumn("_number", term_number(F.col("term")))
+    numbered = postings if "_number" in postings.columns else postings.withColumn("_number", term_number(F.col("term")))
     bounds = slice_bounds(numbered, "_number", width * SLICES_EACH)
     sliced = with_slice(numbered, F.col("_number"), bounds)
     copies = {int(b): n for b, n in Counter(bounds).items() if n > 1}

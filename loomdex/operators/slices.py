@@ -73,36 +73,6 @@ def with_slice(rows: DataFrame, value: Column, bounds: Sequence[float], spread:
     return found.withColumn(name, (F.get(high, at) - back).cast("int")).drop("_value_", "_at_")
 
 
-def count_below(value: Column, bounds: Sequence[float], inclusive: bool) -> Column:
-    """How many of the ascending ``bounds`` are below ``value``, or at most it if ``inclusive``.
-
-    A balanced tree of comparisons, so the work per row is the logarithm of the bounds.
-    """
-
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        beyond = value >= F.lit(bounds[mid]) if inclusive else value > F.lit(bounds[mid])
-        return F.when(beyond, tree(mid + 1, high)).otherwise(tree(low, mid))
-
-    return tree(0, len(bounds))
-
-
-def slice_of(value: Column, bounds: Sequence[float], spread: Sequence[str] = ()) -> Column:
-    """Slice number of ``value``; slices are ordered as their values.
-
-    Values equal to a repeated bound may lie in any slice between its copies: they
-    are dealt out by a hash of ``spread``, the rest of the row's identity. So within
-    one slice order, equal values may span several slices, never unequal ones.
-    """
-    low = count_below(value, bounds, inclusive=False)
-    if not spread or len(set(bounds)) == len(bounds):
-        return low.cast("int")
-    high = count_below(value, bounds, inclusive=True)
-    return (low + F.pmod(F.xxhash64(*spread), (high - low + 1).cast("bigint"))).cast("int")
-
-
 def deal(rows: DataFrame, width: int) -> DataFrame:
     """Rows dealt to ``width`` partitions by ``_slice``, the slices in turn, so each gets as many.
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import pathlib
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -40,14 +42,47 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[name]
 
 
+#: Intermediate tables that were written, by application id.
+_TABLES: dict[str, list[str]] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder and return a scan of what was written."""
+    """Cut lineage: write ``df`` to the shared folder and return a scan of what was written.
+
+    The table stays until ``clear`` or the end of the application, as results may be lazy.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    name = spark.sparkContext.applicationId
+    if name not in _TABLES:
+        _TABLES[name] = []
+        atexit.register(_clear_at_exit, spark)
+    _TABLES[name].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Remove the intermediate tables of this application so far; results that still read them can't be used any more."""
+    paths = _TABLES.get(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        removed += path.getFileSystem(conf).delete(path, True)
+    return removed
+
+
+def _clear_at_exit(spark: SparkSession) -> None:
+    for folder in _LOCAL.values():
+        shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
+    try:
+        if spark.sparkContext._jsc is not None:
+            clear(spark)
+    except Exception:  # the session may have ended before
+        pass
+
+
 #: Applications whose executors have been given the package.
 _SHIPPED: set[str] = set()
 
@@ -75,12 +110,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def shuffle_width(spark: SparkSession, per_core: int = 1) -> int:
+def shuffle_width(spark: SparkSession) -> int:
     """Number of partitions for an explicit repartition.
 
     Follows ``spark.sql.shuffle.partitions``, which a deployment sizes to its data.
     """
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * per_core)
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def spread(df: DataFrame) -> DataFrame:

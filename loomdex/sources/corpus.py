@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WHITE_SPACE, clean_text, is_term, tokens, words
+from ..functions.text import WHITE_SPACE, clean_text, is_term, tokens
 from ..runtime import cut
 from .files import Files
 
@@ -39,24 +39,26 @@ class CorpusCheck:
     """What one pass over a corpus found."""
 
     document_count: int
-    token_count: int
+    #: Null if the tokens weren't counted on the way.
+    token_count: int | None
     error: str | None
 
 
-#: A character that no valid line holds.
-FOREIGN = r"[^A-Za-z0-9\p{IsWhite_Space}]"
+#: What nearly every valid line looks like, matched without a step back; and a character that no valid line holds.
+USUAL, FOREIGN = r"\A[A-Za-z0-9][A-Za-z0-9 ]*+\z", r"[^A-Za-z0-9\p{IsWhite_Space}]"
 
 
 def line_faults(value: Column) -> Column:
     """Struct (kind, token) of the first fault of a line: 0 invalid UTF-8, 1 empty, 2 a bad token; else null.
 
-    Only lines with a foreign character are cut into tokens.
+    Only lines with a foreign character are cut into tokens, and only unusual ones looked at more than once.
     """
     bad = F.get(F.filter(tokens(value), lambda t: ~is_term(t)), F.lit(0))
     fault = lambda kind, token: F.struct(F.lit(kind).alias("kind"), token.alias("token"))
     none = F.lit(None).cast("string")
     return (
-        F.when(~F.is_valid_utf8(value), fault(0, none))
+        F.when(value.rlike(USUAL), F.lit(None))
+        .when(~F.is_valid_utf8(value), fault(0, none))
         .when(value.rlike(FOREIGN), fault(2, bad))
         .when(~value.rlike("[A-Za-z0-9]"), fault(1, none))
     )
@@ -115,19 +117,17 @@ class CorpusScan:
 
     def _counted(self, check: bool) -> DataFrame:
         """(_file, _block, _first, _lines, _start) of every block, and what the check found in it."""
+        lines = self._lines
         figures = [F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_lines"), F.max("_marked").alias("_marked")]
         if check:
-            fault = line_faults(F.col("value"))
-            figures += [
-                F.sum(F.size(words(F.col("value")))).alias("_tokens"),
-                F.min(F.when(fault.isNotNull(), F.struct("_id", fault.alias("fault")))).alias("_fault"),
-            ]
+            figures.append(F.min(F.when(F.col("fault").isNotNull(), F.struct("_id", "fault"))).alias("_fault"))
+            lines = lines.withColumn("fault", line_faults(F.col("value")))
             if self._any_marked:
                 # The reader takes the mark away, so the first line of the file is looked at apart.
                 figures.append(F.min(F.when(F.col("_marked") & (F.col("_block") == 0), F.struct("_id", "value"))).alias("_head"))
         earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
         # One row for each block: the only thing that is put in order.
-        return self._lines.groupBy("_file", "_block").agg(*figures).withColumn("_start", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)))
+        return lines.groupBy("_file", "_block").agg(*figures).withColumn("_start", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)))
 
     def checked(self) -> CorpusCheck:
         """What the first pass found, if it was asked to check."""
@@ -139,10 +139,10 @@ class CorpusScan:
             faults.insert(0, F.when(F.col("_head").isNotNull(), head))
         first = F.array_min(F.array_compact(F.array(*faults)))
         found = self._starts.agg(
-            F.coalesce(F.sum("_lines"), F.lit(0)).alias("documents"), F.coalesce(F.sum("_tokens"), F.lit(0)).alias("tokens"), F.min(first).alias("first")
+            F.coalesce(F.sum("_lines"), F.lit(0)).alias("documents"), F.min(first).alias("first")
         ).first()
         error = None if found["first"] is None else _error(found["first"]["line"] + 1, found["first"]["kind"], found["first"]["token"])
-        return CorpusCheck(found["documents"], found["tokens"], error)
+        return CorpusCheck(found["documents"], None, error)
 
     def lines(self) -> DataFrame:
         """(line_no BIGINT, value STRING)."""
@@ -166,7 +166,8 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 def validate_corpus(spark: SparkSession, path: str) -> CorpusCheck:
     """Check a corpus file; CorpusError with the first fault."""
-    found = CorpusScan(spark, path, check=True).checked()
+    scan = CorpusScan(spark, path, check=True)
+    found = scan.checked()
     if found.error:
         raise CorpusError(found.error)
     return found

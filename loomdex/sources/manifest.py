@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +20,7 @@ FORMAT, VERSION = "loomdex manifest", 1
 
 
 class ManifestError(ValueError):
-    """A manifest that breaks a rule; ``kind`` names the rule."""
+    """A manifest that breaks a rule; ``kind`` names the rule (fixed values)."""
 
     def __init__(self, kind: str, detail: str = "") -> None:
         super().__init__(f"{kind}: {detail}" if detail else kind)
@@ -115,10 +114,6 @@ class Manifest:
         return spark.createDataFrame(rows, MANIFEST)
 
 
-def manifest_from(segments: Sequence[SegmentMetadata]) -> Manifest:
-    return Manifest(tuple(segments))
-
-
 def encode_manifest(files: Files, path: str, manifest: Manifest) -> None:
     """Write a manifest once; its generation is the number in its name."""
     generation = manifest_number(path.rpartition("/")[2])
@@ -154,6 +149,6 @@ def decode_manifest(files: Files, path: str) -> Manifest:
     if content.get("generation") != manifest_number(path.rpartition("/")[2]):
         raise ManifestError("manifest generation does not match its name", str(content.get("generation")))
     try:
-        return manifest_from([SegmentMetadata(**s) for s in content["segments"]])
+        return Manifest(tuple(SegmentMetadata(**s) for s in content["segments"]))
     except (KeyError, TypeError) as e:
         raise ManifestError("invalid manifest content", str(e)) from e

@@ -12,7 +12,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.index import SEGMENT_BYTES, dictionary_of_parts, invalid_records, ordinals_of_parts, sorted_postings, term_bytes
+from ..operators.index import SEGMENT_BYTES, dictionary_of_parts, invalid_records, ordinals_of_parts, sorted_postings, term_bytes, term_number
 from ..schemas import DICTIONARY, POSTINGS, SORTED_POSTINGS, U32_MAX
 from .files import Files
 from .manifest import (
@@ -102,7 +102,8 @@ class IndexStorage:
         ``postings`` is worked out once, unsorted, into a temporary table; what follows
         reads that. Postings lie in Parquet in the order of term and document, so a lookup
         reads the few row groups whose term range holds the term; a common term takes
-        several files. ``took`` gets the milliseconds of indexing, finalization and writing.
+        several files. ``took`` gets the milliseconds of indexing, finalization and writing,
+        and the numbers of postings and tokens.
         """
         if document_count > U32_MAX:
             raise StorageError("document count exceeds u32")
@@ -115,12 +116,13 @@ class IndexStorage:
                 nonlocal clock
                 took[name], clock = (time.perf_counter() - clock) * 1e3, time.perf_counter()
 
-            postings.select(*POSTINGS.names).write.parquet(raw)
-            lap("indexing_ms")
-            unsorted = self.spark.read.schema(POSTINGS).parquet(raw)
-            most = unsorted.agg(F.max("term_frequency")).first()[0] or 0
-            if most > U32_MAX:
+            postings.select(*POSTINGS.names, term_number(F.col("term")).alias("_number")).write.parquet(raw)
+            unsorted = self.spark.read.parquet(raw)
+            figures = unsorted.agg(F.count(F.lit(1)).alias("postings"), F.sum("term_frequency").alias("tokens"), F.max("term_frequency").alias("most")).first()
+            took |= {k: figures[k] or 0 for k in ("postings", "tokens")}
+            if (figures["most"] or 0) > U32_MAX:
                 raise StorageError("frequency exceeds u32")
+            lap("indexing_ms")
             sorted_postings(unsorted).write.parquet(f"{temporary}/{POSTINGS_TABLE}")
             lap("segment_write_ms")
             stored = self.spark.read.schema(SORTED_POSTINGS).parquet(f"{temporary}/{POSTINGS_TABLE}")

@@ -30,6 +30,14 @@ def test_the_session_names_the_shared_folder(spark, tmp_path, monkeypatch):
     assert cut(df.limit(0)).count() == 0
 
 
+def test_intermediate_tables_are_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(runtime, "_configured", lambda _: f"file://{tmp_path}")
+    monkeypatch.setattr(runtime, "_TABLES", {})
+    cut(spark.range(3)), cut(spark.range(4))
+    assert len(os.listdir(tmp_path)) == 2
+    assert runtime.clear(spark) == 2 and os.listdir(tmp_path) == [] and runtime.clear(spark) == 0
+
+
 def test_a_local_session_without_the_setting_gets_one_folder(spark, monkeypatch):
     monkeypatch.setattr(runtime, "_configured", lambda _: None)
     assert shared_dir(spark) == shared_dir(spark) != ""
