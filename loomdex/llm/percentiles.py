@@ -23,8 +23,9 @@ from ..runtime import cut, ship, shuffle_width
 
 #: Slices for each partition; more than one, as no two are of quite the same size.
 SLICES_EACH = 2
-#: Most rows of the table from days to periods that is broadcast; a larger one is joined by a shuffle.
-BROADCAST_DAYS = 1_000_000
+#: Most days of periods in a table from days to periods that is broadcast (some 230 bytes of the driver's memory each
+#: and twice that while it is sent); a larger one is joined by a shuffle.
+BROADCAST_DAYS = 250_000
 #: Parts that the rows of a day are split into by that shuffle.
 DAY_PARTS = 32
 METRICS = ("segment_open", "total")
@@ -237,24 +238,28 @@ def summary_percentiles(samples: DataFrame, summaries: DataFrame) -> DataFrame:
         .withColumn("gid", F.monotonically_increasing_id())
     )
     groups = cut(spans)
-    days = groups.agg(F.coalesce(F.sum(F.col("_to") - F.col("_from") + 1), F.lit(0))).first()[0]
-    few = days <= BROADCAST_DAYS
+    length, star = F.col("_to") - F.col("_from") + 1, F.col("term") == "*"
+    days = groups.agg(*[F.coalesce(F.sum(F.when(c, length)), F.lit(0)).alias(n) for n, c in (("one", ~star), ("every", star))]).first()
     of_day = groups.withColumn("day", F.explode(F.sequence("_from", "_to")))
-    one = of_day.where(F.col("term") != "*").groupBy("term", "segment_access", "day").agg(F.collect_list("gid").alias("_one"))
-    every = of_day.where(F.col("term") == "*").groupBy("segment_access", "day").agg(F.collect_list("gid").alias("_every"))
+    one = of_day.where(~star).groupBy("term", "segment_access", "day").agg(F.collect_list("gid").alias("_one"))
+    every = of_day.where(star).groupBy("segment_access", "day").agg(F.collect_list("gid").alias("_every"))
+    few = days["one"] <= BROADCAST_DAYS and days["every"] <= BROADCAST_DAYS
+
+    def with_days(rows: DataFrame, periods: DataFrame, on: Sequence[str], days: int) -> DataFrame:
+        """``rows`` with the groups of their day, by a broadcast of the ``periods`` if these have few ``days``."""
+        if days <= BROADCAST_DAYS:
+            return rows.join(F.broadcast(periods), list(on), "left")
+        # A day and access hold many rows: they are split by slice, and the few rows of periods copied to each part.
+        # Spark takes the size of the periods for that of the file they are unfolded from, and would broadcast them.
+        copies = periods.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(DAY_PARTS - 1))))
+        split = rows.withColumn("_part", F.pmod("_slice", F.lit(DAY_PARTS)))
+        return split.join(copies.hint("merge"), [*on, "_part"], "left").drop("_part")
 
     def with_groups(rows: DataFrame) -> DataFrame:
         """``gids``: the groups that rows belong to, besides those in ``own``."""
         none = F.array().cast("array<bigint>")
-        if few:
-            joined = rows.join(F.broadcast(one), ["term", "segment_access", "day"], "left").join(F.broadcast(every), ["segment_access", "day"], "left")
-        else:
-            # A day and access hold many rows: they are split by slice, and the few rows of periods copied to each part.
-            parts = F.explode(F.sequence(F.lit(0), F.lit(DAY_PARTS - 1)))
-            split = rows.withColumn("_part", F.pmod("_slice", F.lit(DAY_PARTS)))
-            joined = split.join(one.withColumn("_part", parts), ["term", "segment_access", "day", "_part"], "left").join(
-                every.withColumn("_part", parts), ["segment_access", "day", "_part"], "left"
-            )
+        joined = with_days(rows, one, ["term", "segment_access", "day"], days["one"])
+        joined = with_days(joined, every, ["segment_access", "day"], days["every"])
         gids = F.concat(*[F.coalesce(c, none) for c in ("_one", "_every", "own")])
         return joined.withColumn("gids", gids).where(F.size("gids") > 0)
 
@@ -264,12 +269,16 @@ def summary_percentiles(samples: DataFrame, summaries: DataFrame) -> DataFrame:
     of_groups = with_groups(cells.withColumn("own", nothing)).select("metric", "_slice", "n", F.explode("gids").alias("gid"))
     starts = _starts(of_groups.groupBy("gid", "metric", "_slice").agg(F.sum("n").alias("n")))
     daily = counts.withColumns({"own": nothing, "_whole": F.lit(None).cast("bigint")})
-    rows = daily.unionByName(starts, allowMissingColumns=True)
     ranks = [r for some in PUBLISHED.values() for r in some]
     # A broadcast join leaves the slices in place; one by a shuffle must come before they are dealt out.
-    placed = with_groups(deal(rows, width)) if few else deal(with_groups(rows), width)
+    if few:
+        placed = with_groups(deal(daily.unionByName(starts, allowMissingColumns=True), width))
+    else:
+        grouped = with_groups(daily).select("_slice", "gids", "metric", "value", "n", "_whole")
+        placed = deal(grouped.unionByName(starts.withColumnRenamed("own", "gids")), width)
     picked = _pick(placed, ranks)
-    return picked.join(groups.select("gid", *names), "gid").withColumn(
+    named = groups.select("gid", *names)
+    return picked.join(named if few else named.hint("merge"), "gid").withColumn(
         "metric", F.element_at(F.array(*[F.lit(m) for m in METRICS]), F.col("metric") + 1)
     ).drop("gid")
 
@@ -306,7 +315,7 @@ def unfit_figures(samples: DataFrame, summaries: DataFrame) -> DataFrame:
     published = summaries.select("summary_id", *names, F.explode(figures).alias("f")).select(
         "summary_id", *names, "f.metric", "f.stat", "f.v"
     ).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    true = summary_percentiles(samples, summaries)
+    true = summary_percentiles(samples, summaries).hint("merge")
     low = F.when(F.col("stat") == "median", F.col("median_low")).otherwise(F.col("p95_low"))
     high = F.when(F.col("stat") == "median", F.col("median_high")).otherwise(F.col("p95_high"))
     wrong = published.join(true, [*names, "metric"]).where((F.col("v") < low) | (F.col("v") > high))

@@ -133,6 +133,16 @@ def test_large_day_tables_are_joined_the_other_way(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_many_days_are_not_broadcast(spark, monkeypatch):
+    """Spark takes the days of long periods for as large as the file of the periods; its default threshold must not broadcast them."""
+    monkeypatch.setattr(P, "BROADCAST_DAYS", 1_000)
+    samples = [(i, day(i % 600), "the", "reused", None, 0.5, None) for i in range(1200)]
+    periods = [(i, day(0), 500 + i, t, "reused", *[7.0] * 4) for i, t in enumerate(["the"] * 3 + ["*"] * 3)]
+    found = unfit_figures(spark.createDataFrame(samples, SAMPLES), spark.createDataFrame(periods, SUMMARIES))
+    assert rows(found) == [(i, "total", stat) for i in range(6) for stat in ("median", "p95")]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_first_arrival_counts(spark):
     t = dt.datetime(2020, 1, 1)
     data = [(1, day(0), "a", "x", 1.0, 1.0, None), (1, day(0), "a", "x", 2.0, 2.0, t), (1, day(0), "a", "x", 3.0, 3.0, t + dt.timedelta(1))]
