@@ -20,16 +20,15 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship, spread
+from ..runtime import cut, ship, spread
 
 #: Bits of a codeword, hashed n-gram columns, longest n-gram.
 BITS, COLUMNS, LONGEST = 31, 1 << 15, 5
-#: Bounds of what the classifiers are fitted on: labelled sentences of each language, documents
-#: that further sentences are taken from, and their longest text.
-SAMPLES_EACH, DOCUMENTS_MOST, DOCUMENT_LENGTH = 200, 3_000, 2_000
+#: Documents and their longest text for which the least numbers below were set; they bound nothing.
+DOCUMENTS_MOST, DOCUMENT_LENGTH = 3_000, 2_000
 #: N-grams of all languages that each language's own are mixed with.
 SMOOTHING = 200.0
 #: Parts of the samples that are held out in turn, the longest window of them in words, and the scales tried.
@@ -39,9 +38,15 @@ SCALES = tuple(0.02 * 1.25**i for i in range(20))
 INNER_LEAST, INNER_SHARE = 10, 0.02
 #: Rows of a word that belongs to a language.
 OWN_LEAST = 3
-#: Documents that a word, and votes that a kind of sentence must have to be gone by.
-KIND_DOCUMENTS, KIND_VOTES = 5, 3
-#: Units of texts that a Python worker remembers.
+#: The share of its language that tells such a word from few rows, as words like "with" are common; rows that tell of any word.
+INNER_COMMON, INNER_SURE = 5e-3, 150
+#: What these rows must be at least of all rows of the language, so that what a word is doesn't change with the size of the corpus.
+INNER_OF_ALL, OWN_OF_ALL = 1e-4, 1e-4
+#: Documents that a word must have to be gone by, their least share of all, and votes that a kind of sentence must have.
+KIND_DOCUMENTS, KIND_OF_ALL, KIND_VOTES = 5, 4e-3, 3
+#: Characters of text that are worked on at once.
+TEXT_AT_ONCE = 400_000
+#: Units of texts, or words to be counted, that a Python worker remembers.
 UNITS_KEPT = 200_000
 SEED = 20_190_107
 #: The class of text in no language.
@@ -197,6 +202,11 @@ def _log_odds(seen: np.ndarray, book: np.ndarray) -> np.ndarray:
     return weights
 
 
+def _inner_least(total: int) -> float:
+    """Rows that tell whether a word ends or begins sentences, of a language of ``total`` rows."""
+    return min(max(INNER_LEAST, INNER_COMMON * total), max(INNER_SURE, INNER_OF_ALL * total))
+
+
 def _inner_words(texts: Sequence[str], labels: Sequence[str]) -> list[dict[str, frozenset[str]]]:
     """Words of each language that hardly ever stand last in a sentence, those that hardly ever stand first, and all but the rarest."""
     every, last, first = ({name: Counter() for name in set(labels)} for _ in range(3))
@@ -205,9 +215,9 @@ def _inner_words(texts: Sequence[str], labels: Sequence[str]) -> list[dict[str,
         every[label].update(parts)
         last[label].update(parts[-1:])
         first[label].update(parts[:1])
-    often = {name: [w for w, n in some.items() if n >= INNER_LEAST] for name, some in every.items()}
+    often = {name: [w for w, n in some.items() if n >= _inner_least(some.total())] for name, some in every.items()}
     rare = [{name: frozenset(w for w in some if at[name][w] < INNER_SHARE * every[name][w]) for name, some in often.items()} for at in (last, first)]
-    return [*rare, {name: frozenset(w for w, n in some.items() if n >= OWN_LEAST) for name, some in every.items()}]
+    return [*rare, {name: frozenset(w for w, n in some.items() if n >= max(OWN_LEAST, OWN_OF_ALL * some.total())) for name, some in every.items()}]
 
 
 def fit(texts: Sequence[str], labels: Sequence[str], measured: Model | None = None, uncut: int | None = None, seed: int = SEED) -> Model:
@@ -216,7 +226,7 @@ def fit(texts: Sequence[str], labels: Sequence[str], measured: Model | None = No
     N-grams overlap, so their log-odds add up to too much. By how much, and how reliable
     each bit is, is measured on windows of one to six words held out in ``FOLDS`` parts,
     or taken over from a model that was measured. The first ``uncut`` texts tell how
-    sentences begin and end; all if not given.
+    sentences begin and end; all if not given. ``fit_rows`` gives the same from a table.
     """
     names = sorted(set(labels))
     book = codebook(len(names), seed=seed)
@@ -229,12 +239,9 @@ def fit(texts: Sequence[str], labels: Sequence[str], measured: Model | None = No
         weights = _log_odds(np.array([words.counts(np.flatnonzero((part != fold) & (rows == c))) for c in classes]), book)
         scores = words.scores(weights)
         for i in np.flatnonzero(part == fold):
-            at = length = 0
-            while at < len(words.texts[i]):
-                length = length % LONGEST_WINDOW + 1
-                odds.append(scores[words.texts[i][at : at + length]].sum(axis=0))
-                truth.append(rows[i])
-                at += length
+            some = _windows(words.texts[i], scores)
+            odds += some
+            truth += [rows[i]] * len(some)
     weights = _log_odds(np.array([words.counts(np.flatnonzero(rows == c)) for c in classes]), book) if len(names) > 1 else np.zeros((COLUMNS, BITS))
     model = Model(names, book, weights, np.ones(book.shape[1], np.float32))
     model.inner_last, model.inner_first, model.often = _inner_words(texts[:uncut], labels[:uncut])
@@ -242,15 +249,30 @@ def fit(texts: Sequence[str], labels: Sequence[str], measured: Model | None = No
         model.reliable, model.scale = measured.reliable, measured.scale
     elif odds:
         odds, truth = np.array(odds), np.array(truth)
-        wrong = np.clip((np.sign(odds) != book[truth]).mean(axis=0), 0.01, 0.49)
-        reliable = np.log((1 - wrong) / wrong)
-        model.reliable = (reliable / reliable.mean()).astype(np.float32)
+        model.reliable = _reliable((np.sign(odds) != book[truth]).mean(axis=0))
         # The scale under which held-out windows are the most likely.
         model.scale = min(SCALES, key=lambda s: _surprise(model, odds * s, truth))
     model.weights = (model.weights * model.scale).astype(np.float32)
     return model
 
 
+def _windows(words: np.ndarray, scores: np.ndarray) -> list[np.ndarray]:
+    """Bit log-odds of windows of one to six words of a text in turn."""
+    out, at, length = [], 0, 0
+    while at < len(words):
+        length = length % LONGEST_WINDOW + 1
+        out.append(scores[words[at : at + length]].sum(axis=0))
+        at += length
+    return out
+
+
+def _reliable(wrong: np.ndarray) -> np.ndarray:
+    """Weights of the bits by the share of windows on which each is wrong."""
+    wrong = np.clip(wrong, 0.01, 0.49)
+    reliable = np.log((1 - wrong) / wrong)
+    return (reliable / reliable.mean()).astype(np.float32)
+
+
 def _surprise(model: Model, odds: np.ndarray, truth: np.ndarray) -> float:
     shares = confidences(model.losses(odds))
     return float(-np.log(np.maximum(shares[np.arange(len(truth)), truth], 1e-6)).mean())
@@ -633,12 +655,14 @@ def label_code(label: Column) -> Column:
     return F.when(F.length(found) == 2, found).otherwise(F.try_element_at(long, found))
 
 
-def first_documents(documents: DataFrame, most: int = DOCUMENTS_MOST) -> DataFrame:
-    """The first ``most`` distinct texts by a hash of the text.
+def first_documents(documents: DataFrame, most: int | None = None) -> DataFrame:
+    """The distinct texts, however many copies there are; with ``most`` the first so many by a hash of the text.
 
-    Only hashes are made distinct over all rows; texts are then moved up to the last hash
-    that is needed, so the shuffle is narrow and copies of a text count once however many.
+    For the first ones only hashes are made distinct over all rows; texts are then moved up
+    to the last hash that is needed.
     """
+    if most is None:
+        return documents.select("text").distinct()
     hashed = documents.select("text", F.xxhash64("text").alias("_hash"))
     # Texts with the same hash can only make this bound higher than needed.
     last = hashed.select("_hash").distinct().orderBy("_hash").limit(most).agg(F.max("_hash")).first()[0]
@@ -646,81 +670,246 @@ def first_documents(documents: DataFrame, most: int = DOCUMENTS_MOST) -> DataFra
     return needed.orderBy("_hash", "text").limit(most).select("text")
 
 
-def sentence_kind(text: str, often: Counter[str]) -> str:
-    """The words of a sentence that are in several documents; what else it holds is left out."""
-    return " ".join(w for w in map(plain, words_of(text)) if often[w] >= KIND_DOCUMENTS)
+def _at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of batches with the texts in their first column, of a bounded length."""
+    for batch in batches:
+        first = size = 0
+        texts: list[str] = []
+        for at, text in enumerate(batch.column(0)):
+            texts.append(text.as_py() or "")
+            size += len(texts[-1])
+            if size >= TEXT_AT_ONCE or at == batch.num_rows - 1:
+                yield batch.slice(first, at + 1 - first), texts
+                texts, first, size = [], at + 1, 0
+
+
+class _Plain(dict):
+    """Plain forms of words, remembered."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > UNITS_KEPT:
+            self.clear()
+        self[word] = found = plain(word)
+        return found
 
 
-def context_sentences(texts: Sequence[str], model: Model) -> tuple[list[str], list[str], int]:
-    """(texts, classes, uncut) of the sentences of some documents, by what stands around them.
+#: What a row of ``_contexts`` is: a sentence, a line in no language, a word and its documents, or a number of documents.
+SENTENCE, LINE, SEEN, ALL = range(4)
+_CONTEXT = pa.schema([("what", pa.int32()), ("text", pa.string()), ("name", pa.string()), ("around", pa.string()), ("uncut", pa.bool_()), ("n", pa.int64())])
+
+
+def _context(what: int, rows: Sequence[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array([what] * len(rows), pa.int32()), *(pa.array(c, f.type) for c, f in zip(columns, list(_CONTEXT)[1:], strict=True))], schema=_CONTEXT)
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """Sentences of texts with the language of most of the other text around each, other lines, and in how many texts words are."""
+    seen: Counter[str] = Counter()
+    forms, documents = _Plain(), 0
+    for _, texts in _at_once(batches):
+        found = find_stretches(texts, model)
+        spans: defaultdict[int, list[tuple[str, str, int, bool]]] = defaultdict(list)
+        lines = set()
+        columns = (found.text, found.start, found.stop, found.kind, found.known, found.shaped, found.uncut)
+        for text, start, stop, kind, known, shaped, uncut in zip(*(c.tolist() for c in columns), strict=True):
+            part = texts[text][start:stop]
+            if shaped:
+                spans[text].append((part, model.names[kind] if known else NONE, stop - start if known else 0, uncut))
+            else:
+                # Lines that differ only in numbers teach nothing new.
+                lines.add(regex.sub(r"\d+", "0", part))
+        sentences = []
+        for some in spans.values():
+            weight: Counter[str] = Counter()
+            for _, name, size, _ in some:
+                weight[name] += size
+            for part, name, size, uncut in some:
+                rest = weight.copy()
+                rest[name] -= size
+                around, most = max(rest.items(), key=lambda x: (x[1], x[0]))
+                if most * 3 < rest.total() * 2 or not most:
+                    around = NONE
+                sentences.append((part, name, around, uncut, 1))
+        yield _context(SENTENCE, sentences)
+        yield _context(LINE, [(line, NONE, NONE, False, 1) for line in lines])
+        documents += len(texts)
+        for text in texts:
+            seen.update({forms[w] for w in set(words_of(text))})
+        if len(seen) > UNITS_KEPT:
+            yield _context(SEEN, [(w, NONE, NONE, False, n) for w, n in seen.items()])
+            seen.clear()
+    yield _context(SEEN, [(w, NONE, NONE, False, n) for w, n in seen.items()])
+    yield _context(ALL, [("", NONE, NONE, False, documents)])
+
+
+def _kinds(batches: Iterator[pa.RecordBatch], often: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    """Add to sentences their kind: the words that are in several documents; what else they hold is left out."""
+    forms = _Plain()
+    for batch, texts in _at_once(batches):
+        kinds = [" ".join(w for w in map(forms.__getitem__, words_of(t)) if w in often) for t in texts]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kinds, pa.string())], [*batch.schema.names, "kind"])
+
+
+def context_sentences(documents: DataFrame, model: Model) -> DataFrame:
+    """(text, lang, uncut) of the sentences of all documents, by what stands around them.
 
     A sentence's class is that of most of the other text of its document, by the majority of
     the documents that have a sentence of its kind; so a kind of sentence that the model
     takes for a neighbouring language still gets the right one. A sentence whose kind
     stands alone has to bear out its document. Lines that don't have the shape of a sentence
-    are text in no language. No label of a document is used. The first ``uncut`` of them
-    begin and end as their authors made them.
+    are text in no language. No label of a document is used; copies of a text count once.
+    ``uncut`` are those that begin and end as their authors made them.
     """
-    found = find_stretches(texts, model)
-    often: Counter[str] = Counter()
-    for text in texts:
-        often.update({plain(w) for w in words_of(text)})
-    spans: defaultdict[int, list[tuple[str, str, int, bool]]] = defaultdict(list)
-    none: dict[str, str] = {}
-    columns = (found.text, found.start, found.stop, found.kind, found.known, found.shaped, found.uncut)
-    for text, start, stop, kind, known, shaped, uncut in zip(*(c.tolist() for c in columns), strict=True):
-        part = texts[text][start:stop]
-        if shaped:
-            spans[text].append((part, model.names[kind] if known else NONE, stop - start if known else 0, uncut))
-        else:
-            # Lines that differ only in numbers teach nothing new.
-            none.setdefault(regex.sub(r"\d+", "0", part), part)
-    votes: defaultdict[str, Counter[str]] = defaultdict(Counter)
-    parts: list[tuple[str, str, str, str, bool]] = []
-    for some in spans.values():
-        weight: Counter[str] = Counter()
-        for _, name, size, _ in some:
-            weight[name] += size
-        for part, name, size, uncut in some:
-            rest = weight.copy()
-            rest[name] -= size
-            around, most = max(rest.items(), key=lambda x: (x[1], x[0]))
-            if most * 3 < rest.total() * 2 or not most:
-                around = NONE
-            kind = sentence_kind(part, often)
-            votes[kind][around] += around != NONE
-            parts.append((part, name, around, kind, uncut))
-    chosen = []
-    for part, name, around, kind, uncut in parts:
-        top, n = max(votes[kind].items(), key=lambda x: (x[1], x[0]))
-        if n < KIND_VOTES or n * 3 < votes[kind].total() * 2:
-            top = name if name == around else NONE
-        if top != NONE:
-            chosen.append((part, top, uncut))
-    chosen.sort(key=lambda c: not c[2])
-    texts, names = [c[0] for c in chosen] + list(none.values()), [c[1] for c in chosen] + [NONE] * len(none)
-    return texts, names, sum(c[2] for c in chosen)
+    ship(documents.sparkSession)
+    texts = first_documents(documents.where(F.col("text").isNotNull()))
+    schema = "what int, text string, name string, around string, uncut boolean, n bigint"
+    found = cut(spread(texts).mapInArrow(partial(_contexts, model=model), schema))
+    whole = found.where(F.col("what") == ALL).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = max(KIND_DOCUMENTS, KIND_OF_ALL * whole)
+    # A share of the documents bounds how many words there can be.
+    seen = found.where(F.col("what") == SEEN).groupBy("text").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("text")
+    often = frozenset(r["text"] for r in seen.collect())
+    sentences = spread(found.where(F.col("what") == SENTENCE).select("text", "name", "around", "uncut"))
+    parts = sentences.mapInArrow(partial(_kinds, often=often), "text string, name string, around string, uncut boolean, kind string").withColumn("kind", F.xxhash64("kind"))
+    votes = parts.where(F.col("around") != NONE).groupBy("kind", "around").agg(F.count(F.lit(1)).alias("n"))
+    clear = votes.groupBy("kind").agg(F.sum("n").alias("all"), F.max(F.struct("n", "around")).alias("top")).where(
+        (F.col("top.n") >= KIND_VOTES) & (F.col("top.n") * 3 >= F.col("all") * 2)
+    ).select("kind", F.col("top.around").alias("_top"))
+    alone = F.when(F.col("name") == F.col("around"), F.col("name")).otherwise(F.lit(NONE))
+    chosen = parts.join(clear, "kind", "left").select("text", F.coalesce("_top", alone).alias("lang"), "uncut").where(F.col("lang") != NONE)
+    lines = found.where(F.col("what") == LINE).select("text").distinct()
+    return chosen.unionByName(lines.select("text", F.lit(NONE).alias("lang"), F.lit(False).alias("uncut")))
+
+
+_COUNTED = pa.schema([("inner", pa.bool_()), ("key", pa.int32()), ("word", pa.string()), ("n", pa.int64()), ("last", pa.int64()), ("first", pa.int64())])
+
+
+def _count_words(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Words of texts (text, lang, uncut) by class and held-out part, and plain words by class with their places."""
+    at = {name: i for i, name in enumerate(names)}
+    words: Counter[tuple[int, str]] = Counter()
+    places: tuple[Counter[tuple[int, str]], ...] = (Counter(), Counter(), Counter())
+
+    def rows() -> pa.RecordBatch:
+        some = [(False, key, word, n, 0, 0) for (key, word), n in words.items()]
+        some += [(True, *k, n, places[1][k], places[2][k]) for k, n in places[0].items()]
+        columns = list(zip(*some, strict=True)) or [[]] * 6
+        words.clear()
+        for p in places:
+            p.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _COUNTED, strict=True)], schema=_COUNTED)
+
+    for batch, texts in _at_once(batches):
+        for text, name, uncut in zip(texts, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            kind = at[name]
+            key = kind * FOLDS + zlib.crc32(text.encode()) % FOLDS
+            words.update([(key, w) for w in words_of(text)])
+            if uncut:
+                parts = [(kind, w) for w in _parts(text)]
+                places[0].update(parts)
+                places[1].update(parts[-1:])
+                places[2].update(parts[:1])
+        if len(words) + len(places[0]) > UNITS_KEPT:
+            yield rows()
+    yield rows()
+
+
+def _count_columns(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[pa.RecordBatch]:
+    """Counts (key, column, n) of the n-grams of counted words (key, word, n)."""
+    seen = np.zeros((classes * FOLDS, COLUMNS), np.int64)
+    for batch in batches:
+        for key, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            np.add.at(seen[key], columns_of(word), n)
+    keys, columns = np.nonzero(seen)
+    step = 100_000
+    for i in range(0, len(keys), step):
+        k, c = keys[i : i + step], columns[i : i + step]
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(seen[k, c])], ["key", "column", "n"])
+
+
+def _measure(batches: Iterator[pa.RecordBatch], model: Model, folds: list[np.ndarray], surprise: bool) -> Iterator[pa.RecordBatch]:
+    """One row of sums over held-out windows: their number, and how often each bit is wrong or their surprise at each scale."""
+    total, sums = 0, np.zeros(len(SCALES) if surprise else model.book.shape[1])
+    for batch, texts in _at_once(batches):
+        words = _Words([words_of(t) for t in texts])
+        part = np.array([zlib.crc32(t.encode()) % FOLDS for t in texts])
+        rows = [model.names.index(name) for name in batch.column(1).to_pylist()]
+        for fold, weights in enumerate(folds):
+            scores = words.scores(weights)
+            for i in np.flatnonzero(part == fold):
+                odds = np.array(_windows(words.texts[i], scores))
+                if len(odds):
+                    truth = np.full(len(odds), rows[i])
+                    total += len(odds)
+                    sums += [_surprise(model, odds * s, truth) * len(odds) for s in SCALES] if surprise else (np.sign(odds) != model.book[truth]).sum(axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([sums.tolist()], pa.list_(pa.float64()))], ["total", "sums"])
+
+
+def fit_rows(rows: DataFrame, names: Sequence[str], measured: Model | None = None, seed: int = SEED) -> Model:
+    """``fit`` on every row of a table (text, lang, uncut), whose lang is one of the ``names``.
+
+    Words are counted where they are read and the counts summed up by a shuffle. The driver
+    gets counts by class and n-gram column, sums over windows, and the words that make up a
+    share of their language, however many rows there are.
+    """
+    names = sorted(names)
+    classes, book = len(names), codebook(len(names), seed=seed)
+    ship(rows.sparkSession)
+    rows = spread(rows.select("text", "lang", "uncut"))
+    kinds = "inner boolean, key int, word string, n bigint, last bigint, first bigint"
+    counted = rows.mapInArrow(partial(_count_words, names=names), kinds).groupBy("inner", "key", "word")
+    counted = cut(counted.agg(*[F.sum(c).alias(c) for c in ("n", "last", "first")]))
+    columns = counted.where(~F.col("inner")).select("key", "word", "n").mapInArrow(partial(_count_columns, classes=classes), "key int, column int, n bigint")
+    sums = columns.groupBy("key", "column").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros((classes, FOLDS, COLUMNS))
+    key = sums["key"].to_numpy()
+    seen[key // FOLDS, key % FOLDS, sums["column"].to_numpy()] = sums["n"].to_numpy()
+    model = Model(names, book, _log_odds(seen.sum(axis=1), book), np.ones(book.shape[1], np.float32))
+
+    inner = counted.where("inner")
+    totals = dict.fromkeys(range(classes), 0) | {r["key"]: r["n"] for r in inner.groupBy("key").agg(F.sum("n").alias("n")).collect()}
+    least = {c: max(OWN_LEAST, OWN_OF_ALL * n) for c, n in totals.items()}
+    some = inner.where(F.col("n") >= F.get(F.array(*[F.lit(float(least[c])) for c in range(classes)]), F.col("key"))).collect()
+    own: dict[str, list] = {name: [] for name in names}
+    for r in some:
+        own[names[r["key"]]].append(r)
+    rare = lambda at: {name: frozenset(r["word"] for r in x if r["n"] >= _inner_least(totals[r["key"]]) and r[at] < INNER_SHARE * r["n"]) for name, x in own.items()}
+    model.inner_last, model.inner_first = rare("last"), rare("first")
+    model.often = {name: frozenset(r["word"] for r in x) for name, x in own.items()}
+
+    if measured is not None:
+        model.reliable, model.scale = measured.reliable, measured.scale
+    else:
+        folds = [_log_odds(seen.sum(axis=1) - seen[:, fold], book) for fold in range(FOLDS)]
+        plan = Model(names, book, np.zeros(0), model.reliable)
+        for surprise in (False, True):
+            parts = rows.mapInArrow(partial(_measure, model=plan, folds=folds, surprise=surprise), "total bigint, sums array<double>").collect()
+            total, sums = sum(r["total"] for r in parts), np.sum([r["sums"] for r in parts], axis=0)
+            if not total:
+                break
+            if surprise:
+                model.scale = SCALES[int(np.argmin(sums))]
+            else:
+                plan.reliable = model.reliable = _reliable(sums / total)
+    model.weights = (model.weights * model.scale).astype(np.float32)
+    return model
 
 
 def language_model(samples: DataFrame, documents: DataFrame) -> Model:
     """Fit the classifiers on labelled sentences.
 
-    First on at most ``SAMPLES_EACH`` samples of each language. The samples show only
-    some kinds of sentences, so the classifiers are then fitted again with the sentences of
-    at most ``DOCUMENTS_MOST`` documents (the first by a hash of the text, repeated ones
+    First on all samples, then again with the sentences of all documents (repeated ones
     once), whose language is told by what stands around them; the documents' own labels
-    aren't used. Only these bounded samples reach the driver.
+    aren't used. Nothing is sampled: counts are summed up over every row.
     """
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    known = samples.select(label_code(F.col("lang")).alias("lang"), "text").dropna()
-    some = known.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= SAMPLES_EACH).orderBy("lang", "_n").collect()
-    texts, labels = [r["text"] for r in some] + ["0"], [r["lang"] for r in some] + [NONE]
-    model = fit(texts, labels)
-    if len(model.names) < 2:
-        return model
-    short = documents.select("text").where(F.col("text").isNotNull() & (F.length("text") <= DOCUMENT_LENGTH))
-    more, names, uncut = context_sentences([r["text"] for r in first_documents(short).collect()], model)
-    return fit(texts + more, labels + names, model, len(texts) + uncut)
+    known = samples.select("text", label_code(F.col("lang")).alias("lang"), F.lit(True).alias("uncut")).dropna()
+    names = [r["lang"] for r in known.select("lang").distinct().collect()]
+    if not names:
+        return fit(["0"], [NONE])
+    names.append(NONE)
+    model = fit_rows(known, names)
+    return fit_rows(known.unionByName(context_sentences(documents, model)), names, model)
 
 
 _RESULT = (
@@ -729,8 +918,6 @@ _RESULT = (
 )
 _LANGUAGE = pa.struct([("lang", pa.string()), ("confidence", pa.float64())])
 _STRETCH = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("sentence", pa.bool_())])
-#: Characters of text that are worked on at once.
-TEXT_AT_ONCE = 400_000
 
 
 def _lists(kind: pa.StructType, counts: np.ndarray, columns: Sequence[pa.Array]) -> pa.ListArray:

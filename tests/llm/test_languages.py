@@ -298,3 +298,27 @@ def test_copies_do_not_change_the_model(spark):
     kept = df.where(F.col("text").isNotNull() & (F.length("text") <= L.DOCUMENT_LENGTH) & label_code(F.col("lang")).isNotNull())
     first = kept.orderBy(F.xxhash64("text")).limit(1).crossJoin(spark.range(L.DOCUMENTS_MOST)).drop("id")
     assert np.array_equal(language_model(known, df.union(first)).weights, language_model(known, df).weights)
+
+
+def test_every_sample_counts(spark, samples):
+    """More samples of a language than were once fitted on: all of them are, as by one process."""
+    many = [(f"{t} {'x' * i}", l) for t, l in samples for i in range(4)]
+    known = spark.createDataFrame(many, "text string, lang string").repartition(3)
+    wanted = fit([t for t, _ in many] + ["0"], [l for _, l in many] + [L.NONE])
+    found = language_model(known, known.limit(0))
+    assert np.array_equal(found.weights, wanted.weights) and np.array_equal(found.reliable, wanted.reliable)
+    assert (found.scale, found.inner_last, found.inner_first, found.often) == (wanted.scale, wanted.inner_last, wanted.inner_first, wanted.often)
+
+
+def test_every_document_counts(spark, samples):
+    """Long texts, and those beyond the first few thousand, are fitted on too."""
+    known = spark.createDataFrame(samples, "text string, lang string")
+    english = [t for t, l in samples if l == "en"]
+    data = [(f"{english[i % 60]}.\n{english[(i + 7) % 60]}.\n{i}",) for i in range(3_200)] + [(".\n".join([*english, *english, "The quaxolot has been rebuilt from the quaxolot although nothing else had changed."]),)]
+    df = spark.createDataFrame(data, "text string")
+    model = language_model(known, df)
+    chosen = {tuple(r) for r in L.context_sentences(df, model).select("text", "lang").collect()}
+    assert (data[-1][0].rpartition("\n")[2], "en") in chosen
+    assert len(data[-1][0]) > L.DOCUMENT_LENGTH and len(data) > L.DOCUMENTS_MOST
+    short = language_model(known, df.where(F.length("text") <= L.DOCUMENT_LENGTH))
+    assert not np.array_equal(model.weights, short.weights)
